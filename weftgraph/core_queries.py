@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import hierarchy, keycounts, references
+from weftgraph.operators import drift, flatten, hierarchy, keycounts, references
 from weftgraph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,37 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(*_orphans(spark, d)).select(F.lit("edges").alias("table_name"), "side", "month", "cause", "n_refs")
 
 
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    wire = flatten.wire_elements(table(spark, d, "wire_nodes"), table(spark, d, "shards"))
+    return wire.unionByName(flatten.import_elements(table(spark, d, "files")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of the scalars of all nested records."""
+    return flatten.leaves(_elements(spark, d)).select("origin", "record_key", "leaf_path")
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables as cells, each with the key of its row and of the row above."""
+    return flatten.flat_cells(_elements(spark, d))
+
+
+def p4_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The schema graph: path patterns with their types and numbers of elements."""
+    g = flatten.schema_graph(_elements(spark, d))
+    return g.select("origin", F.array_join("pattern", "/").alias("pattern"), "type", "n")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields added, removed, renamed and retyped from shard to shard."""
+    return drift.schema_changes(table(spark, d, "wire_nodes"), table(spark, d, "shards"))
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    """All records of complete shards in one consistent table of named, typed values."""
+    return drift.consistent_table(table(spark, d, "wire_nodes"), table(spark, d, "shards"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that hold at least 2.5 percent of the rows of their table."""
     return keycounts.heavy_values(table(spark, d, "edges"), table(spark, d, "nodes")).select("table_name", "field", "key_value")
@@ -73,7 +104,7 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return keycounts.edge_profile(e, "kind").unionByName(keycounts.edge_profile(e, "dst"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p3_found, p3_report, p7_found, p7_counts, p7_profile)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p3_found, p3_report, p4_found, p4_tables, p4_schema, p6_found, p6_table, p7_found, p7_counts, p7_profile)}
 
 _LINKS = """links AS (SELECT DISTINCT dst AS child, src AS parent FROM edges
  WHERE coalesce(semantic_kind, kind) IN ('PACKAGE_CONTAINS','CONTAINS','CONTAINS_BODY','AST_CHILD')

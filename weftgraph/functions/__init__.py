@@ -1 +1 @@
-
+"""Scalar functions that built-in expressions cannot state."""
