@@ -5,13 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mixing, tokenizer
+from weftgraph.llm import handwritten, mixing, syntax, tokenizer
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are generated, minified, third-party copies or data."""
+    return handwritten.not_handwritten(_table(spark, d, "files")).select("file_id").distinct()
+
+
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The reasons for each of those files."""
+    return handwritten.not_handwritten(_table(spark, d, "files"))
+
+
+def p2_remaining(spark: SparkSession, d: str) -> DataFrame:
+    """The hand-written files that remain."""
+    files = _table(spark, d, "files")
+    return files.select("file_id", "path").distinct().join(p2_found(spark, d), "file_id", "left_anti")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose text is not of the language of their extension."""
+    return syntax.faulty_files(_table(spark, d, "files")).select("file_id")
+
+
+def p5_errors(spark: SparkSession, d: str) -> DataFrame:
+    """First cause and number of errors of the files that do not parse."""
+    return syntax.faulty_files(_table(spark, d, "files")).select("file_id", "unit", "language", "n_errors", "first_line", "first_cause")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Files that do not parse per unit and language."""
+    return syntax.error_rates(_table(spark, d, "files"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(_table(spark, d, "documents"))
@@ -28,6 +59,6 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_remaining, p5_found, p5_errors, p5_rates, p8_ids, p9_mix, p9_shares)}
 
 ORACLE: dict[str, str] = {}
