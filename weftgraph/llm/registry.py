@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import handwritten, mixing, syntax, tokenizer
+from weftgraph.llm import handwritten, mixing, pii, syntax, tokenizer
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,6 +59,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_remaining, p5_found, p5_errors, p5_rates, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal items in the documents."""
+    return pii.personal_items(_table(spark, d, "documents"), _table(spark, d, "given_names"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with typed placeholders in place of personal items."""
+    return pii.redacted(_table(spark, d, "documents"), _table(spark, d, "given_names"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_remaining, p5_found, p5_errors, p5_rates, p8_ids, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 ORACLE: dict[str, str] = {}
