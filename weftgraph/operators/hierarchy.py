@@ -32,6 +32,8 @@ from weftgraph.plans.durable import durable
 FRAGMENT_ROWS = 50_000
 #: Links of a quotient graph that one task solves.
 QUOTIENT_ROWS = 500_000
+#: Levels of quotients; what is left then, or has no child with a single parent, goes to one task.
+LEVELS = 25
 #: Rows of a solved quotient up to which it is broadcast for the expansion (about 10 MB).
 BROADCAST_ROWS = 50_000
 #: Copies of the solved exits among which the rows of one exit are spread when both sides shuffle.
@@ -242,7 +244,7 @@ def _solve(links: DataFrame, paths: bool, level: int = 0) -> DataFrame:
         quotient = quotient.unionByName(head_links)
     quotient = durable(quotient, "quotient")
     m = quotient.count()
-    if m <= QUOTIENT_ROWS:
+    if m <= QUOTIENT_ROWS or n_several == n or level >= LEVELS:
         solved = durable(quotient.coalesce(1).mapInArrow(_solve_task, SOLVED), "solved")
     else:
         # What ends in a local cycle is known; the rest is a smaller forest of the same form.
