@@ -59,7 +59,7 @@ _ID = re.compile(
     rf"|[A-Z]{_D}{{7}}|[A-Z]{{3}}{_D}{{2}}[A-Z]{_D}{{4}}|{_D}{{8}}-?[A-Z]|{_D}{{9}}"
     rf")(?![\w/@-]|[.,:]\d)"
 )
-_STREET = r"(?:Street|Road|Lane|Drive|Way|Avenue|Row|Square|Court|Terrace|Close|Hill|Walk|Place|Crescent|Boulevard|Parade|Gardens|St\.|Rd\.|Ave\.|Ln\.|Dr\.|Sq\.|Blvd\.)"
+_STREET = r"(?:Street|Road|Lane|Drive|Way|Avenue|Row|Square|Court|Terrace|Close|Hill|Walk|Place|Crescent|Boulevard|Parade|Gardens|St\.|Rd\.|Ave\.|Ln\.|Dr\.(?![ \t]+[A-Z])|Sq\.|Blvd\.)"
 _NO = r"\d{1,5}[a-zA-Z]?"
 _ADDRESS = re.compile(
     # 12 Some Street
@@ -111,7 +111,7 @@ _INTRODUCED = [
         ("llamo", rf"me{_GAP}llamo{_GAP}", _STOP),
     )
 ]
-_FULL_TITLE = re.compile(rf"(?<![\w'’-])(?P<g>{_WORD})[ \t]{{1,2}}(?:[A-Z]\.[ \t])?(?:(?:de|van|von|da|del|di|du)[ \t])?(?P<f>[A-ZÀ-Þ][a-zß-ÿ]{{2,}}(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w'’])")
+_FULL_TITLE = re.compile(r"(?<![\w'’-])(?P<g>[A-ZÀ-Þ][^\W\d_]*)(?=(?P<rest>[ \t]{1,2}(?:[A-Z]\.[ \t])?(?:(?:de|van|von|da|del|di|du)[ \t])?[A-ZÀ-Þ][a-zß-ÿ]{2,}(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w'’]))")
 
 
 def _letters(word: str) -> int:
@@ -132,8 +132,8 @@ def find_names(text: str, given: frozenset[str]) -> list[tuple[int, int]]:
             if min(_letters(first), _letters(family)) >= 3 and (_style(first) == _style(family) or m[g] in given):
                 found.append(m.span("n"))
     for m in _FULL_TITLE.finditer(text):
-        if _style(m["g"]) and fold(m["g"]) in given:
-            found.append(m.span())
+        if fold(m["g"]) in given:
+            found.append((m.start(), m.end("rest")))
     return found
 
 
