@@ -257,12 +257,17 @@ def homonyms(spark: SparkSession, d: str) -> DataFrame:
     return navigate.homonyms(graph.load(spark, d))
 
 
-@query()
+_HITS = f"""{_NE}, {_DECL}, X AS (SELECT src AS id FROM E UNION ALL SELECT dst FROM E), G AS (SELECT id, count(*) AS degree FROM X GROUP BY 1), T AS (SELECT *, list_transform(regexp_extract_all(name, '[A-Z]?[a-z]+|[0-9]+|[A-Z]+'), lambda t: lower(t)) AS tokens FROM D),
+ S AS (SELECT node_id AS id, name AS label, kind, CASE WHEN lower(name) = '{{q}}' THEN 100 WHEN starts_with(lower(name), '{{q}}') THEN 85 WHEN list_contains(tokens, '{{q}}') THEN 70 WHEN contains(lower(name), '{{q}}') THEN 55 END AS score FROM T),
+ H AS (SELECT S.id, label, kind, score, coalesce(degree, 0) AS degree FROM S LEFT JOIN G ON G.id = S.id WHERE score IS NOT NULL)"""
+
+
+@query(f"{_HITS.replace('{q}', 'table')} SELECT * FROM H")
 def search_names(spark: SparkSession, d: str) -> DataFrame:
-    return navigate.search(graph.load(spark, d), "pack table")
+    return navigate.search(graph.load(spark, d), "table")
 
 
-@query()
+@query(f"""{_HITS.replace('{q}', 'pack')}, R AS (SELECT *, row_number() OVER (ORDER BY score DESC, degree DESC, lower(label), id)::INT AS place, count(*) OVER () AS total FROM H) SELECT * FROM R WHERE place BETWEEN 11 AND 20""")
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     hits = navigate.search(graph.load(spark, d), "pack")
     return navigate.page(hits, [F.desc("score"), F.desc("degree"), F.lower("label"), "id"], 10, 10)
@@ -368,7 +373,10 @@ def call_cycles(spark: SparkSession, d: str) -> DataFrame:
     return traverse.strong_components(_calls(graph.load(spark, d)))
 
 
-@query()
+@query(f"""{_RNE}, {_PAIRS}, W(id, other) AS (SELECT caller, callee FROM P UNION SELECT w.id, p.callee FROM W w JOIN P p ON p.caller = w.other), X AS (SELECT caller AS id FROM P UNION SELECT callee FROM P),
+ C AS (SELECT x.id, least(x.id, coalesce(min(w.other), x.id)) AS component FROM X x LEFT JOIN W w ON w.id = x.id AND EXISTS (SELECT 1 FROM W v WHERE v.id = w.other AND v.other = w.id) GROUP BY x.id),
+ A AS (SELECT DISTINCT a.component AS a, b.component AS b FROM P JOIN C a ON a.id = caller JOIN C b ON b.id = callee WHERE a.component <> b.component),
+ V(component, level) AS (SELECT DISTINCT component, 0::BIGINT FROM C UNION SELECT A.a, v.level + 1 FROM V v JOIN A ON A.b = v.component) SELECT component, max(level) AS level FROM V GROUP BY 1""")
 def call_levels(spark: SparkSession, d: str) -> DataFrame:
     links = _calls(graph.load(spark, d))
     return traverse.levels(links, traverse.strong_components(links))

@@ -1,0 +1,79 @@
+"""Python sources to graph rows: declarations, calls, imports and parameters, one file at a time."""
+
+from __future__ import annotations
+
+import ast
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROWS = "file_id string, node_id string, parent_id string, kind string, label string, start_line long, end_line long, detail string"
+
+
+def _node_id(kind: str, file_id: str, *parts: object) -> str:
+    text = "\x00".join(["v2", "frontend", "python-ast", kind, file_id, *map(str, parts)])
+    return f"v2:frontend:python-ast:{kind}:{hashlib.sha256(text.encode()).hexdigest()[:20]}"
+
+
+def _name(node: ast.AST) -> str:
+    if isinstance(node, ast.Attribute):
+        return f"{_name(node.value)}.{node.attr}"
+    return node.id if isinstance(node, ast.Name) else "()" if isinstance(node, ast.Call) else "?"
+
+
+def extract(file_id: str, text: str) -> list[tuple]:
+    """Rows of one file; a file that cannot be read as Python gives one diagnostic row."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [(file_id, _node_id("diagnostic", file_id), file_id, "diagnostic", type(e).__name__, getattr(e, "lineno", None), None, str(e))]
+    rows: list[tuple] = []
+    todo: list[tuple[ast.AST, str, bool]] = [(n, file_id, False) for n in reversed(tree.body)]
+    while todo:
+        node, parent, in_class = todo.pop()
+        start, end = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
+        here, inside = parent, in_class
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            kind = "class" if isinstance(node, ast.ClassDef) else "method" if in_class else "function"
+            here = _node_id(kind, file_id, start, node.col_offset, node.name)
+            inside = kind == "class"
+            public = "private" if node.name.startswith("_") else "public"
+            rows.append((file_id, here, parent, kind, node.name, start, end, public))
+            if kind != "class":
+                a = node.args
+                every = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
+                rows += [(file_id, _node_id("parameter", file_id, here, i), here, "parameter", p.arg, p.lineno, p.end_lineno, str(i)) for i, p in enumerate(every)]
+        elif isinstance(node, ast.Call):
+            name = _name(node.func)
+            rows.append((file_id, _node_id("call", file_id, start, node.col_offset, name), parent, "call", name, start, end, str(len(node.args) + len(node.keywords))))
+        elif isinstance(node, ast.Import):
+            rows += [(file_id, _node_id("import", file_id, start, a.name), parent, "import", a.name, start, end, a.asname) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            module = "." * node.level + (node.module or "")
+            rows += [(file_id, _node_id("import", file_id, start, module, a.name), parent, "import", f"{module}:{a.name}", start, end, a.asname) for a in node.names]
+        todo += [(c, here, inside if isinstance(node, ast.ClassDef) else False) for c in reversed(list(ast.iter_child_nodes(node)))]
+    return rows
+
+
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    for b in batches:
+        rows = [r for f, t in zip(b["file_id"], b["text"]) for r in extract(f, t)]
+        yield pd.DataFrame(rows, columns=names).astype({"start_line": "Int64", "end_line": "Int64"})
+
+
+def python_graph(files: DataFrame) -> DataFrame:
+    """Rows of all kept Python texts. The texts stay where they are read; repeated files fold in the result."""
+    kept = files.filter(F.col("text").isNotNull() & F.col("file_id").isNotNull() & F.col("path").rlike(r"\.pyi?$"))
+    return kept.select("file_id", "text").mapInPandas(_extract, ROWS).distinct()
+
+
+def resolve_locally(rows: DataFrame) -> DataFrame:
+    """(call_id, target_id, rung): calls of names that their file declares, one exactly, several conservatively up to eight."""
+    decl = rows.filter(F.col("kind").isin("function", "class")).groupBy("file_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
+    calls = rows.filter("kind = 'call'").select("file_id", F.col("node_id").alias("call_id"), "label")
+    j = calls.join(decl, ["file_id", "label"])
+    return j.select("call_id", F.when(F.col("n") <= 8, F.col("first")).alias("target_id"), F.when(F.col("n") == 1, "exact").when(F.col("n") <= 8, "conservative").otherwise("over-cap").alias("rung"))
