@@ -80,11 +80,14 @@ def cfg(g: Graph) -> DataFrame:
 def reaching_definitions(g: Graph, rounds: int) -> DataFrame:
     """(def_id, variable, use_id): writes that reach a read of the same variable along the control flow, no other write between.
 
-    The rows that flow are (write, variable, statement); a statement that writes the variable stops them.
+    A variable is a name in its owner. The rows that flow are (write, variable, statement); a
+    statement that writes the variable stops them.
     """
     nxt = durable(cfg(g), "cfg")
-    w = durable(g.semantic("WRITES_TO").filter("src is not null and dst is not null").select(F.col("src").alias("id"), F.col("dst").alias("variable")).distinct(), "writes")
-    r = g.semantic("READS_FROM").filter("src is not null and dst is not null").select(F.col("src").alias("at"), F.col("dst").alias("variable")).distinct()
+    named = g.nodes.filter("label is not null and owner_function_id is not null").select(F.col("id").alias("dst"), F.concat_ws("/", "owner_function_id", "label").alias("variable"))
+    touched = lambda kind: g.semantic(kind).filter("src is not null").select("src", "dst").distinct().join(named, "dst").select("src", "variable").distinct()
+    w = durable(touched("WRITES_TO").withColumnRenamed("src", "id"), "writes")
+    r = touched("READS_FROM").withColumnRenamed("src", "at")
 
     def step(found: DataFrame) -> DataFrame:
         kills = w.select(F.col("id").alias("at"), "variable")
