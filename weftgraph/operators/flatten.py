@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions import wirejson
+from weftgraph.plans.durable import durable
 
 ELEMENTS = "origin string, record_key string, path array<string>, type string, value string"
 #: Path patterns up to which the schema plan is joined by broadcast (about 10 MB).
@@ -133,6 +134,7 @@ def flat_cells(elements: DataFrame) -> DataFrame:
     container that starts a row without a scalar of its own gives a cell without a column.
     """
     spark = elements.sparkSession
+    elements = durable(elements, "elements")  # opened once, read for the schema and for the cells
     graph = [(r["origin"], tuple(r["pattern"]), r["type"]) for r in schema_graph(elements).collect()]  # the schema's size, not the data's
     plan = inlining_plan(graph)
     starts = {(o, cut) for (o, _), (_, cut, _) in plan.items()}
