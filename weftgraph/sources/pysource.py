@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans.spread import spread
+
 ROWS = "file_id string, node_id string, parent_id string, kind string, label string, start_line long, end_line long, detail string"
 
 
@@ -68,7 +70,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def python_graph(files: DataFrame) -> DataFrame:
     """Rows of all kept Python texts. The texts stay where they are read; repeated files fold in the result."""
     kept = files.filter(F.col("text").isNotNull() & F.col("file_id").isNotNull() & F.col("path").rlike(r"\.pyi?$"))
-    return kept.select("file_id", "text").mapInPandas(_extract, ROWS).distinct()
+    return spread(kept.select("file_id", "text"), "file_id").mapInPandas(_extract, ROWS).distinct()
 
 
 def resolve_locally(rows: DataFrame) -> DataFrame:
