@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.durable import durable
+from weftgraph.plans.spread import spread
 
 #: Directories laid out for third-party copies, and those that are if a package with a version is inside (fixed values).
 COPY_DIRECTORIES = ("vendor", "vendors", "third_party", "third-party", "thirdparty", "node_modules", "bower_components")
@@ -191,7 +192,7 @@ def shared_subtrees(hashes: DataFrame) -> DataFrame:
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(file_id, reason) with a row for each reason that a file has."""
-    own = files.select("file_id", "path", "lines", "bytes", "text").mapInPandas(_judge, "file_id string, reason string")
+    own = spread(files.select("file_id", "path", "lines", "bytes", "text"), "file_id").mapInPandas(_judge, "file_id string, reason string")
     shared = shared_subtrees(subtree_hashes(files)).distinct()
     parts = F.split("path", "/")
     above = files.filter(F.col("path").isNotNull()).select("file_id", "unit", parts.alias("parts")).select(

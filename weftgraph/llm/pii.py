@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans.spread import spread
+
 #: Key of the pseudonyms; a deployment passes its own.
 KEY = b"weft"
 #: Given names up to which the table is sent to the tasks.
@@ -239,7 +241,7 @@ def _find(given: frozenset[str]):
 
 def personal_items(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     """(doc_id, pii_type, pii_value): the distinct items of each document."""
-    rows = documents.filter(F.length("text") > 0).select("doc_id", "text")
+    rows = spread(documents.filter(F.length("text") > 0).select("doc_id", "text"), "doc_id")
     found = rows.mapInPandas(_find(given_set(given_names)), "doc_id long, pii_type string, pii_value string")
     return found.distinct()
 
@@ -254,4 +256,4 @@ def _redact(given: frozenset[str], key: bytes):
 
 def redacted(documents: DataFrame, given_names: DataFrame, key: bytes = KEY) -> DataFrame:
     """(doc_id, text) of every document with placeholders for its items."""
-    return documents.select("doc_id", "text").mapInPandas(_redact(given_set(given_names), key), "doc_id long, text string")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(_redact(given_set(given_names), key), "doc_id long, text string")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import parsing
+from weftgraph.plans.spread import spread
 
 PARSED = "file_id string, unit string, language string, n_errors int, first_line int, first_cause string, errors array<struct<at:int,cause:string>>"
 
@@ -38,7 +39,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_files(files: DataFrame) -> DataFrame:
     """One row per file with a kept text and a known extension."""
-    rows = files.filter(F.col("text").isNotNull()).select("file_id", "unit", "path", "text").mapInPandas(_parse, PARSED)
+    rows = spread(files.filter(F.col("text").isNotNull()).select("file_id", "unit", "path", "text"), "file_id").mapInPandas(_parse, PARSED)
     # texts stay where they are read; only the small results meet by file
     worst = F.max_by(F.struct("unit", "language", "n_errors", "first_line", "first_cause", "errors"), "n_errors")
     return rows.groupBy("file_id").agg(worst.alias("r")).select("file_id", "r.*")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.spread import spread
+
 #: Default place of the vocabulary; every function takes another as ``vocabulary``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-token pattern of the vocabulary (a fixed value).
@@ -111,7 +113,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     short = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk))
-    whole = short.mapInArrow(_single(vocabulary, 1), f"key {kind}, ids array<int>")
+    whole = spread(short, "key").mapInArrow(_single(vocabulary, 1), f"key {kind}, ids array<int>")
 
     # ``row_no`` tells rows of one key apart
     long = rows.filter(F.length("text") > chunk).withColumn("row_no", F.monotonically_increasing_id())
@@ -120,8 +122,8 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
         "key", "row_no", "chunk_no", F.expr(f"substring(text, chunk_no * {chunk} + 1, {chunk + overlap})").alias("part")
     )
     # one shuffle spreads the chunks of a long text over the tasks
-    spread = chunks.repartition("key", "row_no", "chunk_no")
-    marked = spread.mapInArrow(_edges(chunk, overlap), f"key {kind}, row_no long, chunk_no int, part string, heads array<long>, tails array<long>")
+    scattered = chunks.repartition("key", "row_no", "chunk_no")
+    marked = scattered.mapInArrow(_edges(chunk, overlap), f"key {kind}, row_no long, chunk_no int, part string, heads array<long>, tails array<long>")
     w = Window.partitionBy("key", "row_no").orderBy("chunk_no")
     stitched = marked.withColumn("start", F.when(F.col("chunk_no") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w))))).drop("heads", "tails")
     # behind the first overlap without a common boundary everything belongs to the piece before
