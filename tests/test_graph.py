@@ -115,3 +115,9 @@ def test_nearest_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 9)] + [(100, None), (101, [0.0, 0.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r.vec_id) for r in nearest.nearest(rows.filter("vec_id <= 5"), rows, 1).collect()}
     assert {q for q, _ in got} == {1, 2, 3, 4, 5} and (1, 2) in got and (4, 5) in got
+
+
+def test_entry_queries_have_matching_names():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
