@@ -156,3 +156,70 @@ def double_frees(g: Graph, models: DataFrame, rounds: int) -> DataFrame:
 
     found, _ = fixpoint(frees.select(F.col("at").alias("free_id"), "at"), step, ["free_id", "at"], rounds)
     return found.filter("round > 0 and free_id <> at").join(frees, "at", "left_semi").select("free_id", F.col("at").alias("again_id"))
+
+
+# Which frontend reads a file's extension.
+FRONTENDS = {"c": "clang-c", "h": "clang-c", "py": "cpython-ast", "pyi": "cpython-ast", "ts": "ts-compiler", "tsx": "ts-compiler", "js": "ts-compiler"}
+
+
+def frontend_files(files: DataFrame) -> DataFrame:
+    """(unit, frontend, n_files): which frontend reads how many files of a unit, by extension."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    frontend = F.coalesce(*[F.when(ext == e, f) for e, f in FRONTENDS.items()], F.lit("none"))
+    return files.filter("path is not null").select("unit", "path", frontend.alias("frontend")).distinct().groupBy("unit", "frontend").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def text_scan(files: DataFrame, pattern: str) -> DataFrame:
+    """(file_id, line, content): lines of the kept texts that match."""
+    lines = F.posexplode(F.split("text", "\n")).alias("at", "content")
+    once = files.filter("text is not null").select("file_id", "text").distinct()
+    return once.select("file_id", lines).filter(F.col("content").rlike(pattern)).select("file_id", (F.col("at") + 1).cast("long").alias("line"), "content")
+
+
+def unresolved_reasons(g: Graph) -> DataFrame:
+    """(reason, n): why nodes are not resolved, the first reason of each."""
+    resolution = F.get_json_object("props", "$.resolution")
+    reason = (
+        F.when(F.col("kind") == "diagnostic", "diagnostic")
+        .when(F.col("kind").isin("boundary", "external-module"), "boundary")
+        .when((F.col("kind") == "call") & (resolution == "dynamic"), "dynamic")
+        .when((F.col("kind") == "call") & resolution.isNull(), "missing-model")
+        .when(F.col("confidence") == "unresolved", "confidence")
+    )
+    return g.nodes.select(reason.alias("reason")).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def definitions_before(g: Graph) -> DataFrame:
+    """(read_id, def_id): for each read, the identifier of its name that stands last before it in its owner (an as-of join).
+
+    Both streams are sorted by line within owner and name and swept once, definitions first on equal lines.
+    """
+    n = g.nodes.filter("owner_function_id is not null and start_line is not null and label is not null and kind in ('read', 'identifier')")
+    w = Window.partitionBy("owner_function_id", "label").orderBy("start_line", F.col("kind") == "read", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = n.withColumn("def_id", F.last(F.when(F.col("kind") == "identifier", F.col("id")), ignorenulls=True).over(w))
+    return swept.filter("kind = 'read'").select(F.col("id").alias("read_id"), "def_id")
+
+
+def connectors(g: Graph, share: float = 0.05, least: int = 20) -> DataFrame:
+    """(id, degree, is_connector): call-graph nodes that touch more than a share of all the others."""
+    p = navigate.call_pairs(g).filter("caller <> callee")
+    u = p.select(F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")).distinct()
+    deg = durable(u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    n = deg.count()
+    return deg.select("id", "degree", (F.lit(n >= least) & (F.col("degree") > share * n)).alias("is_connector"))
+
+
+def merge_points(g: Graph) -> DataFrame:
+    """(id, n_before): statements where control flow from several others meets."""
+    c = rules.cfg(g).filter("a <> b")
+    return c.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n_before")).filter("n_before > 1")
+
+
+def taint_pairs(g: Graph, rounds: int) -> DataFrame:
+    """(source, sink, distance): parameters that look like input and the effects their values reach, calls matched with returns."""
+    from weftgraph.operators.traverse import context_reach, flow_links
+
+    r = durable(rules.security_roles(g), "roles")
+    reach = context_reach(r.filter("role = 'source'").select("id"), flow_links(g.semantic(*schema.FLOW_EDGE_KINDS)), rounds)
+    sinks = r.filter("role = 'sink'").select(F.col("id").alias("node"))
+    return reach.join(sinks, "node", "left_semi").select(F.col("seed").alias("source"), F.col("node").alias("sink"), "distance")

@@ -123,3 +123,47 @@ def returned_values(spark: SparkSession, d: str) -> DataFrame:
  SELECT DISTINCT free_id, pos AS again_id FROM F WHERE n > 0 AND free_id <> pos AND pos IN (SELECT pos FROM S WHERE effect = 'free')""")
 def double_frees(spark: SparkSession, d: str) -> DataFrame:
     return planner.double_frees(graph.load(spark, d), table(spark, d, "builtin_nodes"), 12)
+
+
+@query(f"""SELECT unit, CASE lower(regexp_extract(path, '\\.([^./]*)$', 1)) {' '.join(f"WHEN '{e}' THEN '{f}'" for e, f in planner.FRONTENDS.items())} ELSE 'none' END AS frontend, count(DISTINCT path) AS n_files FROM files WHERE path IS NOT NULL GROUP BY 1, 2""")
+def frontend_files(spark: SparkSession, d: str) -> DataFrame:
+    return planner.frontend_files(table(spark, d, "files"))
+
+
+@query("""WITH F AS (SELECT DISTINCT file_id, text FROM files WHERE text IS NOT NULL), S AS (SELECT file_id, string_split(text, chr(10)) AS s FROM F), L AS (SELECT file_id, unnest(s) AS content, unnest(generate_series(1, len(s))) AS line FROM S)
+ SELECT file_id, line, content FROM L WHERE regexp_matches(content, 'log_write\\(')""")
+def text_scan(spark: SparkSession, d: str) -> DataFrame:
+    return planner.text_scan(table(spark, d, "files"), r"log_write\(")
+
+
+@query(f"""WITH {_N}, X AS (SELECT CASE WHEN kind = 'diagnostic' THEN 'diagnostic' WHEN kind IN ('boundary','external-module') THEN 'boundary' WHEN kind = 'call' AND json_extract_string(props, '$.resolution') = 'dynamic' THEN 'dynamic'
+ WHEN kind = 'call' AND json_extract_string(props, '$.resolution') IS NULL THEN 'missing-model' WHEN confidence = 'unresolved' THEN 'confidence' END AS reason FROM N) SELECT reason, count(*) AS n FROM X WHERE reason IS NOT NULL GROUP BY 1""")
+def unresolved_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return planner.unresolved_reasons(graph.load(spark, d))
+
+
+@query(f"""WITH {_N}, X AS (SELECT id, kind, last_value(CASE WHEN kind = 'identifier' THEN id END IGNORE NULLS) OVER (PARTITION BY owner_function_id, label ORDER BY start_line, kind = 'read', id ROWS UNBOUNDED PRECEDING) AS def_id
+ FROM N WHERE owner_function_id IS NOT NULL AND start_line IS NOT NULL AND label IS NOT NULL AND kind IN ('read','identifier')) SELECT id AS read_id, def_id FROM X WHERE kind = 'read'""")
+def definitions_before(spark: SparkSession, d: str) -> DataFrame:
+    return planner.definitions_before(graph.load(spark, d))
+
+
+@query(f"""{_NE}, {_PAIRS}, U AS (SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM P WHERE caller <> callee), G AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM U UNION ALL SELECT b FROM U) GROUP BY 1)
+ SELECT id, degree, (SELECT count(*) FROM G) >= 20 AND degree > 0.05 * (SELECT count(*) FROM G) AS is_connector FROM G""")
+def connectors(spark: SparkSession, d: str) -> DataFrame:
+    return planner.connectors(graph.load(spark, d))
+
+
+@query(f"WITH {_E}, X AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE {_sem('CFG_NEXT')} AND src <> dst) SELECT b AS id, count(*) AS n_before FROM X GROUP BY b HAVING count(*) > 1")
+def merge_points(spark: SparkSession, d: str) -> DataFrame:
+    return planner.merge_points(graph.load(spark, d))
+
+
+_ROLES = rq.ORACLE["security_roles"]
+_ROLE_SQL = "XR AS (SELECT " + _ROLES.split("X AS (SELECT ", 1)[1].split(" FROM N)", 1)[0] + " FROM N), O AS (" + _ROLES.split(" FROM N)", 1)[1].replace("FROM X", "FROM XR") + ")"
+
+
+@query(f"""{_RNE}, {_ROLE_SQL}, {gq._FLOW.format(push='context-parameter', pop='context-return', kinds=gq._kinds(schema.FLOW_EDGE_KINDS))}, S AS (SELECT id FROM O WHERE role = 'source'), {gq._WALK.rsplit('SELECT seed, node', 1)[0]}
+ SELECT seed AS source, node AS sink, min(distance) AS distance FROM W WHERE seed <> node AND node IN (SELECT id FROM O WHERE role = 'sink') GROUP BY 1, 2""")
+def taint_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return planner.taint_pairs(graph.load(spark, d), 8)
