@@ -121,3 +121,13 @@ def test_entry_queries_have_matching_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_next_row_over_ranges(spark):
+    from weftgraph.plans.ranges import lead_in_ranges
+
+    rows = [("hot", i, f"v{i:03d}") for i in range(200)] + [("hot", None, "v"), ("one", 1, "w"), ("two", 2, "b"), ("two", 2, "a")]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "k string, o int, v string").repartition(3)
+    got = {(r.k, r.v): r.after for r in lead_in_ranges(df, "k", ["o", "v"], "v", "after").collect()}
+    assert got[("hot", "v")] == "v000" and all(got[("hot", f"v{i:03d}")] == f"v{i + 1:03d}" for i in range(199)) and got[("hot", "v199")] is None
+    assert got[("one", "w")] is None and got[("two", "a")] == "b" and got[("two", "b")] is None

@@ -450,7 +450,7 @@ def token_idf(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1, 6))
 
 
-@query("""WITH Q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), S AS (SELECT q, vec_id, list_cosine_similarity(Q.e, b.embedding) AS s FROM Q, embeddings b WHERE vec_id <> q)
+@query("""WITH Q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), S AS (SELECT q, vec_id, list_cosine_similarity(Q.e::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM Q, embeddings b WHERE vec_id <> q)
  SELECT q AS query_id, vec_id, round(s, 5) AS similarity FROM S QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 5) DESC, vec_id) <= 5""")
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest rows of every query row (id divisible by 100), the query set sent to all rows in blocks."""

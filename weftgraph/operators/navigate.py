@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema
 from weftgraph.graph import Graph, degrees
+from weftgraph.plans.ranges import lead_in_ranges
 
 
 def owner(nodes: DataFrame) -> Column:
@@ -108,8 +109,7 @@ def strongest_call(g: Graph) -> DataFrame:
 def next_siblings(g: Graph) -> DataFrame:
     """(parent, node, follower): children in order of position, the next one of each."""
     e = g.semantic("AST_CHILD").filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("position").alias("position"))
-    w = Window.partitionBy("src").orderBy(F.asc_nulls_first("position"), "dst")
-    return e.select(F.col("src").alias("parent"), F.col("dst").alias("node"), F.lead("dst").over(w).alias("follower"))
+    return lead_in_ranges(e, "src", ["position", "dst"], "dst", "follower").select(F.col("src").alias("parent"), F.col("dst").alias("node"), "follower")
 
 
 # -- names
