@@ -88,3 +88,24 @@ def test_long_chain_over_many_fragments(spark, monkeypatch):
 
 def test_empty(spark):
     assert resolved(table(spark, [])) == {}
+
+
+@pytest.mark.parametrize("fragment,quotient,paths", [(4, 1, False), (3, 6, True)])
+def test_ended_chains_through_the_recursion(spark, monkeypatch, fragment, quotient, paths):
+    monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", fragment)
+    monkeypatch.setattr(hierarchy, "QUOTIENT_ROWS", quotient)
+    links = [("b", "a"), ("a", "b"), ("m", "a"), ("z1", "m"), ("z2", "z1"), ("two", "m"), ("two", "top"), ("under", "two")]  # a loop with children in other fragments
+    rng = random.Random(fragment)
+    for g in range(12):
+        names = [f"{rng.choice('pqrs')}{g}.{i}" for i in range(12)]
+        links += [(names[i], names[rng.randrange(i)]) for i in range(1, 12) if rng.random() < 0.9]
+        links += [(rng.choice(names), rng.choice(names)) for _ in range(rng.randrange(4))]
+    want, _ = brute(links)
+    rows = hierarchy.resolve_links(table(spark, links), paths).collect()
+    assert sorted((r["node"], r["root"], r["depth"]) for r in rows) == sorted((n, root, depth) for n, (root, depth) in want.items())
+    if paths:
+        parents = set(links)
+        for r in rows:
+            p = r["path"]
+            assert (p is None) == (r["depth"] == -1)
+            assert p is None or (p[0] == r["root"] and p[-1] == r["node"] and len(p) == r["depth"] + 1 and all((c, u) in parents for u, c in zip(p, p[1:])))

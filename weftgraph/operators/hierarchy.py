@@ -6,8 +6,9 @@
    contracts every parent chain to the fragment's exit, with the hops and the smallest id passed;
    a chain without exit ends in a local cycle.
 3. Exits that are children elsewhere, and children with several parents, form the smaller quotient
-   graph. It is solved by the same steps until one bounded task can solve it. There, strongly
-   connected parts show the cycles that cross fragments.
+   graph. Chains that ended in a local cycle hang there from a mark of that cycle. It is solved by
+   the same steps until one bounded task can solve it, where strongly connected parts show the
+   cycles that cross fragments.
 4. Fragment rows are joined with the solution of their exits.
 
 Defined cases: links with a null end do not count; repeated links count once; a link to itself is a
@@ -39,6 +40,9 @@ BROADCAST_ROWS = 50_000
 #: Copies of the solved exits among which the rows of one exit are spread when both sides shuffle.
 EXPAND_SALTS = 16
 
+#: What the ids of marks start with: they stand for local cycles in the quotients above.
+MARK = "\x00cycle"
+
 CONTRACTED = "child string, exit string, hops long, low string, cycle_low string, on_cycle boolean, path array<string>"
 SOLVED = "node string, root string, depth long, cycle_low string, on_cycle boolean, path array<string>"
 
@@ -207,13 +211,14 @@ def _solve(links: DataFrame, paths: bool, level: int = 0) -> DataFrame:
             F.min("parent").alias("parent"),
             F.max("parent").alias("other"),
             F.min(F.struct("hops", "low", "steps")).alias("x"),
+            F.min("low").alias("low"),
             F.min("locality").alias("locality"),
         ),
         "folded",
     )
     several = F.col("parent") != F.col("other")
-    n, n_several = folded.agg(F.count(F.lit(1)), F.count_if(several)).first()
-    single = folded.filter(~several).select("child", "parent", "x.hops", "x.low", "x.steps", "locality")
+    n, n_several, n_marks = folded.agg(F.count(F.lit(1)), F.count_if(several), F.count_if(F.col("child").startswith(MARK))).first()
+    single = folded.filter(~several).select("child", "parent", "x.hops", "low", "x.steps", "locality")
     fragments = max(1, -(-(n - n_several) // FRAGMENT_ROWS))
     placed = single.repartitionByRange(fragments, "locality", "child") if fragments > 1 else single.coalesce(1)
     contracted = durable(placed.select("child", "parent", "hops", "low", "steps").mapInArrow(_contract(paths), CONTRACTED), "contracted")
@@ -244,32 +249,24 @@ def _solve(links: DataFrame, paths: bool, level: int = 0) -> DataFrame:
         quotient = quotient.unionByName(head_links)
     quotient = durable(quotient, "quotient")
     m = quotient.count()
-    if m <= QUOTIENT_ROWS or n_several == n or level >= LEVELS:
+    if m <= QUOTIENT_ROWS or n_several + n_marks == n or level >= LEVELS:
         solved = durable(quotient.coalesce(1).mapInArrow(_solve_task, SOLVED), "solved")
     else:
-        # What ends in a local cycle is known; the rest is a smaller forest of the same form.
-        ended = quotient.filter(F.col("parent").isNull())
-        below = quotient.filter(F.col("parent").isNotNull())
-        marks = ended.select("child", F.concat(F.lit("\x00cycle:"), "cycle_low").alias("parent"), "hops", "low", "steps")
-        rest = below.select("child", "parent", "hops", "low", "steps").unionByName(marks).withColumn("locality", F.xxhash64(F.lit(level), "parent").cast("string"))
+        # A chain that ended in a local cycle hangs from a mark, a cycle of one whose least id is that of the
+        # cycle it stands for; the next quotient finds it like any other cycle, wherever its children are.
+        mark = F.concat(F.lit(f"{MARK}{level}:"), "cycle_low")
+        step = lambda c: F.array(c) if paths else F.lit(None).cast("array<string>")
+        ended = quotient.filter(F.col("parent").isNull()).select("child", mark.alias("parent"), F.lit(1).cast("long").alias("hops"), F.col("cycle_low").alias("low"), step("child").alias("steps")).distinct()
+        marks = ended.select(F.col("parent").alias("child"), "parent", "hops", "low", step("parent").alias("steps")).distinct()
+        below = quotient.filter(F.col("parent").isNotNull()).select("child", "parent", "hops", "low", "steps")
+        rest = below.unionByName(ended).unionByName(marks).withColumn("locality", F.xxhash64(F.lit(level), "parent").cast("string"))
         if m > 0.7 * n:
             heads_only = rest.groupBy("child").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("child")
             lone = rest.join(heads_only, "child", "left_anti")
             rest = _doubled(lone).unionByName(rest.join(heads_only, "child", "left_semi"))
         s = _solve(rest, paths, level + 1)
-        marked = F.col("root").startswith("\x00cycle:")
-        low = F.when(marked, F.expr("substring(root, 8)")).otherwise(F.col("cycle_low"))
-        solved = durable(
-            s.filter("depth <> 0").select(  # roots of the quotient are no children of it
-                "node",
-                F.when(marked, low).otherwise(F.col("root")).alias("root"),
-                F.when(marked, F.lit(-1)).otherwise(F.col("depth")).alias("depth"),
-                low.alias("cycle_low"),
-                "on_cycle",
-                F.when(~marked, F.col("path")).alias("path"),
-            ),
-            "solved",
-        )
+        own = (F.col("depth") != 0) & ~F.col("node").startswith(f"{MARK}{level}:")  # roots of the quotient are no children of it
+        solved = durable(s.filter(own), "solved")
 
     roots = exits.join(solved.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("cycle_low"), F.lit(False).alias("on_cycle"), F.when(F.lit(paths), F.array("node")).alias("path"))
     of_exit = solved.select(F.col("node").alias("exit"), F.col("root").alias("e_root"), F.col("depth").alias("e_depth"), F.col("cycle_low").alias("e_low"), F.col("path").alias("e_path"))
