@@ -129,6 +129,22 @@ def test_flatten(spark):
     assert flatten.leaves(flatten.wire_elements(wire.limit(0), shards.limit(0))).collect() == []
 
 
+def test_found_scalars_come_from_the_flat_tables(spark, monkeypatch):
+    from weftgraph import core_queries
+
+    deep = '{"":{"":1,"x":[2,[3,{"y":"a/b"}]]},"p.q":{"r":1},"p":{"q":{"r":2}},"[0]":{"v":4},"l":[{"same":{"k":1}},[],{"l":[{"k":""}]}],"same":{"k":5},"mix":[1,{"value":2}]}'
+    wire = spark.createDataFrame([(1, "s", "i", deep, None, None), (None, "s", "i", '{"mix":[{"value":1},7]}', None, None), (3, "s", "i", "{}", None, None)], WIRE)
+    el = flatten.wire_elements(wire, spark.createDataFrame([("s", "u", 0, 1, "complete", 0)], SHARD))
+    want = Counter(tuple(r) for r in flatten.leaves(el).collect())
+    assert Counter(tuple(r) for r in flatten.inlined_leaves(el).collect()) == want and len(want) == 14
+    monkeypatch.setattr(core_queries, "_elements", lambda spark, d: el)
+    lost = lambda patterns: {k: v for k, v in plan(patterns).items() if k[1] != ("same", "k")}
+    plan = flatten.inlining_plan
+    monkeypatch.setattr(flatten, "inlining_plan", lost)  # what the tables lose, the query does not find
+    got = Counter(tuple(r) for r in core_queries.p4_found(spark, "").collect())
+    assert Counter(k[:3] for k in want.elements()) - got == Counter([("wire", "1", "same/k")])
+
+
 def test_flatten_imports(spark):
     kind = "file_id string, text string, imports array<struct<source:string,bindings:array<struct<imported:string,local:string>>>>, path string"
     rows = [("f", "t", [None, ("m", [("a", None), None, ("b", "")])], "p"), ("f", "t", [None, ("m", [("a", None), None, ("b", "")])], "p"), ("g", None, None, None)]

@@ -62,8 +62,8 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of the scalars of all nested records."""
-    return flatten.leaves(_elements(spark, d)).select("origin", "record_key", "leaf_path")
+    """Paths of the scalars of all nested records, as the flat tables hold them: row and inlined column."""
+    return flatten.inlined_leaves(_elements(spark, d)).select("origin", "record_key", "leaf_path")
 
 
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:

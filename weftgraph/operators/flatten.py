@@ -127,12 +127,8 @@ def inlining_plan(patterns: list[tuple[str, tuple[str, ...], str]]) -> dict[tupl
     return plan
 
 
-def flat_cells(elements: DataFrame) -> DataFrame:
-    """(table_name, record_key, row_path, parent_path, column_name, type, value): the flat tables, one row per cell.
-
-    ``row_path`` and ``parent_path`` with ``record_key`` are a row's key and its foreign key. A
-    container that starts a row without a scalar of its own gives a cell without a column.
-    """
+def _cells(elements: DataFrame) -> DataFrame:
+    """The cells of :func:`flat_cells` with their ``origin``, the length ``cut`` of the row's path and the ``steps`` of the column."""
     spark = elements.sparkSession
     elements = durable(elements, "elements")  # opened once, read for the schema and for the cells
     graph = [(r["origin"], tuple(r["pattern"]), r["type"]) for r in schema_graph(elements).collect()]  # the schema's size, not the data's
@@ -141,14 +137,15 @@ def flat_cells(elements: DataFrame) -> DataFrame:
     rows = []
     for (o, p), (name, cut, column) in plan.items():
         above = next((k for k in range(len(cut) - 1, -1, -1) if (o, cut[:k]) in starts), -1)
-        rows.append((o, list(p), name, len(cut), above, column))
-    plan_df = spark.createDataFrame(rows, "origin string, pattern array<string>, table_name string, cut int, above int, column_name string")
+        rows.append((o, list(p), name, len(cut), above, column, list(p[len(cut) :])))
+    plan_df = spark.createDataFrame(rows, "origin string, pattern array<string>, table_name string, cut int, above int, column_name string, steps array<string>")
     if len(rows) <= BROADCAST_PATTERNS:
         plan_df = F.broadcast(plan_df)
     scalar = ~F.col("type").isin("object", "list")
     starts_row = F.size("path") == F.col("cut")
     j = elements.withColumn("pattern", pattern_of(F.col("path"))).join(plan_df, ["origin", "pattern"])
     return j.filter(scalar | starts_row).select(
+        "origin",
         "table_name",
         "record_key",
         F.array_join(F.slice("path", F.lit(1), F.col("cut")), "/").alias("row_path"),
@@ -156,9 +153,27 @@ def flat_cells(elements: DataFrame) -> DataFrame:
         F.when(scalar, F.col("column_name")).alias("column_name"),
         F.when(scalar, F.col("type")).alias("type"),
         "value",
+        "cut",
+        "steps",
     )
 
 
+def flat_cells(elements: DataFrame) -> DataFrame:
+    """(table_name, record_key, row_path, parent_path, column_name, type, value): the flat tables, one row per cell.
+
+    ``row_path`` and ``parent_path`` with ``record_key`` are a row's key and its foreign key. A
+    container that starts a row without a scalar of its own gives a cell without a column.
+    """
+    return _cells(elements).drop("origin", "cut", "steps")
+
+
+def inlined_leaves(elements: DataFrame) -> DataFrame:
+    """(origin, record_key, leaf_path, type, value) of the scalars in the flat tables: the row's path and the column's steps."""
+    below = F.array_join("steps", "/")
+    path = F.when(F.col("cut") == 0, below).when(F.size("steps") == 0, F.col("row_path")).otherwise(F.concat_ws("/", "row_path", below))
+    return _cells(elements).filter("column_name is not null").select("origin", "record_key", path.alias("leaf_path"), "type", "value")
+
+
 def flat_tables(elements: DataFrame) -> dict[str, DataFrame]:
     """The flat tables by name, one column per inlined scalar."""
     cells = flat_cells(elements)
