@@ -48,6 +48,61 @@ def test_contexts_match_returns(spark):
     assert got == {("x", "p"), ("x", "r"), ("x", "rx"), ("y", "p"), ("y", "r"), ("y", "ry")}
 
 
+def brute_contexts(links, seeds, most):
+    """(seed, node): distance over states of node and whole stack, of at most so many contexts."""
+    out = {}
+    for s in seeds:
+        seen, now, n = {(s, ())}, [(s, ())], 0
+        while now:
+            n, new = n + 1, []
+            for node, stack in now:
+                for a, b, push, pop in links:
+                    if a != node or (push and len(stack) >= most) or (pop and stack[-1:] != (pop,)):
+                        continue
+                    state = (b, (*stack, push) if push else stack[:-1] if pop else stack)
+                    if state not in seen:
+                        seen.add(state)
+                        new.append(state)
+                        if b != s:
+                            out.setdefault((s, b), n)
+            now = new
+    return out
+
+
+def test_walks_go_to_their_end(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "CONTEXT_DEPTH", 4)
+    rng = random.Random(7)
+    links = {(f"k{i}", f"k{i + 1}", None, None) for i in range(11)}
+    links |= {("x", "f", "c", None), ("f", "f", "c", None), ("f", "g", None, None), ("g", "g", None, "c"), ("g", "h", None, "c"), ("h", "x", "dead", None)}  # recursion
+    for g in range(20):
+        for _ in range(12):
+            c = rng.choice("uvw")
+            links.add((f"r{g}.{rng.randrange(6)}", f"r{g}.{rng.randrange(6)}", *rng.choice([(None, None), (c, None), ("dead", None), (None, c)])))
+    seeds = sorted({x for a, b, *_ in links for x in (a, b)})
+    got = traverse.context_reach(spark.createDataFrame([(s,) for s in seeds], "id string"), spark.createDataFrame(sorted(links, key=str), "a string, b string, push string, pop string"))
+    assert {(r.seed, r.node): r.distance for r in got.collect()} == brute_contexts(links, seeds, 4)
+
+
+def test_registered_walks_have_no_step_bound(spark, monkeypatch):
+    from weftgraph import graph_queries, planner_queries, rule_queries
+
+    kind = "id string, kind string, label string, owner_function_id string, props string"
+    n = spark.createDataFrame([("v0", "read", "v", "o", None)] + [(f"v{i}", "identifier", "v", "o", None) for i in range(1, 16)] + [("a", "identifier", "x", "f", None)], kind)
+    rows = [(f"v{i}", f"v{i + 1}", "VALUE_FLOWS_TO") for i in range(15)] + [("v0", "heap", "POINTS_TO")] + [(f"s{i}", f"s{i + 1}", "CFG_NEXT") for i in range(15)] + [("s0", "a", "WRITES_TO"), ("s15", "a", "READS_FROM"), ("s0", "c0", "AST_CHILD"), ("s15", "c1", "AST_CHILD")]
+    e = spark.createDataFrame([(i, *r, r[2], None, None, None) for i, r in enumerate(rows)], "row_id long, src string, dst string, kind string, semantic_kind string, reason string, context_id string, props string")
+    free = spark.createDataFrame([("c0", "free"), ("c1", "free")], "call_id string, effect string")
+    role = spark.createDataFrame([("v0", "source"), ("v15", "sink")], "id string, role string")
+    monkeypatch.setattr(graph, "load", lambda spark, d: graph.Graph(n, e))
+    monkeypatch.setattr(planner_queries, "table", lambda spark, d, name: None)
+    monkeypatch.setattr(planner_queries.planner.rules, "model_bindings", lambda g, m: free)
+    monkeypatch.setattr(planner_queries.planner.rules, "security_roles", lambda g: role)
+    for q in (graph_queries.flow_cones, graph_queries.pointer_cones):
+        assert ("v0", "v15", 15) in {tuple(r) for r in q(spark, "").collect()}
+    assert [tuple(r) for r in planner_queries.taint_pairs(spark, "").collect()] == [("v0", "v15", 15)]
+    assert [tuple(r) for r in rule_queries.reaching_definitions(spark, "").collect()] == [("s0", "f/x", "s15")]
+    assert [tuple(r) for r in planner_queries.double_frees(spark, "").collect()] == [("s0", "s15")]
+
+
 def test_store_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "function", "f"), ("b", "file", "g"), ("t", "token", "h")], "id string, kind string, label string")
     edges = spark.createDataFrame([(1, "a", "b", "CALLS"), (2, "b", "a", "CONTAINS")], "row_id long, src string, dst string, kind string")

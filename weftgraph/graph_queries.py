@@ -334,17 +334,17 @@ _WALK = """W(seed, node, stack, distance) AS (SELECT id, id, []::VARCHAR[], 0::B
 
 @query(f"{_RNE}, {_FLOW.format(push='context-parameter', pop='context-return', kinds=_kinds(schema.FLOW_EDGE_KINDS))}, S AS (SELECT id FROM N WHERE kind = 'read'), {_WALK}")
 def flow_cones(spark: SparkSession, d: str) -> DataFrame:
-    """What the values of every read reach within eight steps, calls matched with returns."""
+    """What the values of every read reach, calls matched with returns; the SQL stops after eight steps."""
     g = graph.load(spark, d)
-    return traverse.context_reach(g.nodes.filter("kind = 'read'").select("id"), traverse.flow_links(g.semantic(*schema.FLOW_EDGE_KINDS)), rounds=8)
+    return traverse.context_reach(g.nodes.filter("kind = 'read'").select("id"), traverse.flow_links(g.semantic(*schema.FLOW_EDGE_KINDS)))
 
 
 @query(f"{_RNE}, {_FLOW.format(push='context-parameter', pop='context-return', kinds=_kinds(schema.IDENTITY_REASONS[:0] + ('VALUE_FLOWS_TO',)))}, S AS (SELECT DISTINCT src AS id FROM E WHERE kind = 'POINTS_TO' AND src IS NOT NULL), {_WALK}")
 def pointer_cones(spark: SparkSession, d: str) -> DataFrame:
-    """Where the values that point to heap objects go within eight steps."""
+    """Where the values that point to heap objects go; the SQL stops after eight steps."""
     g = graph.load(spark, d)
     seeds = g.edges.filter("kind = 'POINTS_TO' and src is not null").select(F.col("src").alias("id")).distinct()
-    return traverse.context_reach(seeds, traverse.flow_links(g.semantic("VALUE_FLOWS_TO")), rounds=8)
+    return traverse.context_reach(seeds, traverse.flow_links(g.semantic("VALUE_FLOWS_TO")))
 
 
 @query(f"""{_RNE}, I AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE kind = 'VALUE_FLOWS_TO' AND reason IN ({_kinds(schema.IDENTITY_REASONS)}) AND src IS NOT NULL AND dst IS NOT NULL),

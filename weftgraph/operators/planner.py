@@ -142,7 +142,7 @@ def returned_values(g: Graph) -> DataFrame:
     return r.join(i, "fn").filter("value_id <> call_id").select("value_id", "call_id").distinct().join(linked, ["value_id", "call_id"], "left_anti")
 
 
-def double_frees(g: Graph, models: DataFrame, rounds: int) -> DataFrame:
+def double_frees(g: Graph, models: DataFrame, rounds: int | None = None) -> DataFrame:
     """(free_id, again_id): statements that free, reached from another one that does, along the control flow with no allocation between."""
     nxt = durable(rules.cfg(g), "cfg")
     b = rules.model_bindings(g, models).select(F.col("call_id"), "effect")
@@ -215,7 +215,7 @@ def merge_points(g: Graph) -> DataFrame:
     return c.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n_before")).filter("n_before > 1")
 
 
-def taint_pairs(g: Graph, rounds: int) -> DataFrame:
+def taint_pairs(g: Graph, rounds: int | None = None) -> DataFrame:
     """(source, sink, distance): parameters that look like input and the effects their values reach, calls matched with returns."""
     from weftgraph.operators.traverse import context_reach, flow_links
 

@@ -77,7 +77,7 @@ def cfg(g: Graph) -> DataFrame:
     return g.semantic("CFG_NEXT").filter("src is not null and dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
 
 
-def reaching_definitions(g: Graph, rounds: int) -> DataFrame:
+def reaching_definitions(g: Graph, rounds: int | None = None) -> DataFrame:
     """(def_id, variable, use_id): writes that reach a read of the same variable along the control flow, no other write between.
 
     A variable is a name in its owner. The rows that flow are (write, variable, statement); a

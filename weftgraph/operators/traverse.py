@@ -26,22 +26,27 @@ def context_reach(seeds: DataFrame, links: DataFrame, rounds: int | None = None)
     """(seed, node, distance): nodes that values of each seed reach, calls matched with their returns.
 
     A walk is a node with a stack of contexts: entering one pushes it, leaving one needs it on top.
+    Below a context that no link leaves nothing can be popped any more, so the stack is kept only
+    above the last such one, with the depth of all; of equal stacks a deeper, later one adds nothing.
     """
-    links = durable(links, "links")
+    left = links.filter("pop is not null").select(F.col("pop").alias("push")).distinct().withColumn("left", F.lit(True))
+    links = durable(links.join(left, "push", "left"), "links")
 
     def step(found: DataFrame) -> DataFrame:
         j = found.join(links, found["node"] == links["a"])
         top = F.when(F.size("stack") > 0, F.element_at("stack", -1))
-        ok = F.when(F.col("push").isNotNull(), F.size("stack") < CONTEXT_DEPTH).when(F.col("pop").isNotNull(), top == F.col("pop")).otherwise(True)
+        ok = F.when(F.col("push").isNotNull(), F.col("depth") < CONTEXT_DEPTH).when(F.col("pop").isNotNull(), top == F.col("pop")).otherwise(True)
         stack = (
-            F.when(F.col("push").isNotNull(), F.concat("stack", F.array("push")))
+            F.when(F.col("push").isNotNull() & F.col("left").isNull(), F.array().cast("array<string>"))
+            .when(F.col("push").isNotNull(), F.concat("stack", F.array("push")))
             .when(F.col("pop").isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0))))
             .otherwise(F.col("stack"))
         )
-        return j.filter(ok).select("seed", F.col("b").alias("node"), stack.alias("stack"))
+        depth = F.col("depth") + F.when(F.col("push").isNotNull(), 1).when(F.col("pop").isNotNull(), -1).otherwise(0)
+        return j.filter(ok).select("seed", F.col("b").alias("node"), stack.alias("stack"), depth.alias("depth"))
 
-    start = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array().cast("array<string>").alias("stack"))
-    found, _ = fixpoint(start, step, ["seed", "node", "stack"], rounds)
+    start = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array().cast("array<string>").alias("stack"), F.lit(0).alias("depth"))
+    found, _ = fixpoint(start, step, ["seed", "node", "stack"], rounds, falling="depth")
     return found.filter(F.col("seed") != F.col("node")).groupBy("seed", "node").agg(F.min("round").cast("long").alias("distance"))
 
 

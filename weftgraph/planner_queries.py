@@ -122,7 +122,7 @@ def returned_values(spark: SparkSession, d: str) -> DataFrame:
  F(free_id, pos, n) AS (SELECT pos, pos, 0 FROM S WHERE effect = 'free' UNION SELECT f.free_id, x.b, f.n + 1 FROM F f JOIN X x ON x.a = f.pos WHERE f.n < 12 AND (f.free_id = f.pos OR NOT EXISTS (SELECT 1 FROM S WHERE S.pos = f.pos AND effect = 'alloc')))
  SELECT DISTINCT free_id, pos AS again_id FROM F WHERE n > 0 AND free_id <> pos AND pos IN (SELECT pos FROM S WHERE effect = 'free')""")
 def double_frees(spark: SparkSession, d: str) -> DataFrame:
-    return planner.double_frees(graph.load(spark, d), table(spark, d, "builtin_nodes"), 12)
+    return planner.double_frees(graph.load(spark, d), table(spark, d, "builtin_nodes"))
 
 
 @query(f"""SELECT unit, CASE lower(regexp_extract(path, '\\.([^./]*)$', 1)) {' '.join(f"WHEN '{e}' THEN '{f}'" for e, f in planner.FRONTENDS.items())} ELSE 'none' END AS frontend, count(DISTINCT path) AS n_files FROM files WHERE path IS NOT NULL GROUP BY 1, 2""")
@@ -166,4 +166,4 @@ _ROLE_SQL = "XR AS (SELECT " + _ROLES.split("X AS (SELECT ", 1)[1].split(" FROM
 @query(f"""{_RNE}, {_ROLE_SQL}, {gq._FLOW.format(push='context-parameter', pop='context-return', kinds=gq._kinds(schema.FLOW_EDGE_KINDS))}, S AS (SELECT id FROM O WHERE role = 'source'), {gq._WALK.rsplit('SELECT seed, node', 1)[0]}
  SELECT seed AS source, node AS sink, min(distance) AS distance FROM W WHERE seed <> node AND node IN (SELECT id FROM O WHERE role = 'sink') GROUP BY 1, 2""")
 def taint_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return planner.taint_pairs(graph.load(spark, d), 8)
+    return planner.taint_pairs(graph.load(spark, d))

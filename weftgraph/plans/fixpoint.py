@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.durable import durable
 
+#: Rounds after which the rows found so far are written as one table, so that long walks do not read a table per round.
+COMPACT = 16
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], rounds: int | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], rounds: int | None = None, budget: int | None = None, falling: str | None = None) -> tuple[DataFrame, bool]:
     """All rows reachable from ``seed`` by ``step``, with the first ``round`` of each key; whether the budget stopped it.
 
     ``step`` maps the rows of one round to candidates with the same columns but ``round``; of
-    candidates with one key the least row stays.
+    candidates with one key the least row stays. With ``falling``, one of the other columns, a row
+    whose value lies below all known ones of its key counts as found anew.
     """
     others = [c for c in seed.columns if c not in key]
 
@@ -35,12 +39,14 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[
             return every, True
         n += 1
         candidates = least(step(found.drop("round")).select(*seed.columns))
-        known = every.select(*[F.col(k).alias(f"known_{k}") for k in key])
-        same = None
+        known = every.select(*[F.col(k).alias(f"known_{k}") for k in [*key, *([falling] if falling else [])]])
+        same = F.col(falling) >= F.col(f"known_{falling}") if falling else None
         for k in key:
             c = F.col(k).eqNullSafe(F.col(f"known_{k}"))
             same = c if same is None else same & c
         found = durable(candidates.join(known, same, "left_anti").withColumn("round", F.lit(n)), "round")
         count += found.count() if budget is not None else 0
         every = every.unionByName(found)
+        if n % COMPACT == 0:
+            every = durable(every, "rounds")
     return every, False
