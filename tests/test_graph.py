@@ -103,6 +103,17 @@ def test_registered_walks_have_no_step_bound(spark, monkeypatch):
     assert [tuple(r) for r in planner_queries.double_frees(spark, "").collect()] == [("s0", "s15")]
 
 
+def test_witnesses_of_any_length(spark, monkeypatch):
+    from weftgraph import planner_queries
+
+    n = spark.createDataFrame([(f"f{i}", "function", "f") for i in range(9)], "id string, kind string, label string")
+    rows = [(f"f{i}", f"f{i + 1}", "CALLS") for i in range(8)] + [("f8", "f3", "CALLS"), ("f8", "guard", "GUARDED_BY"), ("f2", "guard", "GUARDED_BY")]
+    e = spark.createDataFrame([(*r, r[2]) for r in rows], "src string, dst string, kind string, semantic_kind string")
+    monkeypatch.setattr(graph, "load", lambda spark, d: graph.Graph(n, e))
+    got = {tuple(r) for r in planner_queries.witnesses(spark, "").collect()}
+    assert got == {("f0", "f2", "f0 > f1 > f2"), ("f0", "f8", " > ".join(f"f{i}" for i in range(9)))}
+
+
 def test_store_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "function", "f"), ("b", "file", "g"), ("t", "token", "h")], "id string, kind string, label string")
     edges = spark.createDataFrame([(1, "a", "b", "CALLS"), (2, "b", "a", "CONTAINS")], "row_id long, src string, dst string, kind string")

@@ -67,7 +67,7 @@ def preceding_conditions(g: Graph) -> DataFrame:
     return s.select("owner", "id", F.count_if(F.col("control") == "if").over(w).alias("conditions_before"))
 
 
-def witnesses(g: Graph, depth: int) -> DataFrame:
+def witnesses(g: Graph, depth: int | None = None) -> DataFrame:
     """(seed, node, path): the least of the shortest call paths from each entry point to each guarded function."""
     calls = durable(navigate.call_pairs(g), "calls")
     guarded = g.semantic("GUARDED_BY").select(F.col("src").alias("node")).filter("node is not null").distinct()

@@ -70,7 +70,8 @@ def preceding_conditions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_RNE}, {_PAIRS}, {_ENTRY}, {_GUARDED}, W(seed, node, path, n) AS (SELECT id, id, id, 0 FROM R UNION SELECT w.seed, p.callee, w.path || ' > ' || p.callee, w.n + 1 FROM W w JOIN P p ON p.caller = w.node WHERE w.n < 4)
  SELECT seed, node, path FROM W QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY n, path) = 1 AND n > 0 AND node IN (SELECT id FROM V)""")
 def witnesses(spark: SparkSession, d: str) -> DataFrame:
-    return planner.witnesses(graph.load(spark, d), 4)
+    """Searched until no new function is found; the SQL stops after four calls."""
+    return planner.witnesses(graph.load(spark, d))
 
 
 @query(f"""{_RNE}, {_PAIRS}, {_ENTRY}, W(seed, node, n) AS (SELECT id, id, 0 FROM R UNION SELECT w.seed, p.callee, w.n + 1 FROM W w JOIN P p ON p.caller = w.node WHERE w.n < 3), X AS (SELECT seed, node, min(n) AS n FROM W GROUP BY 1, 2)
