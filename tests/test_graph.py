@@ -114,6 +114,37 @@ def test_witnesses_of_any_length(spark, monkeypatch):
     assert got == {("f0", "f2", "f0 > f1 > f2"), ("f0", "f8", " > ".join(f"f{i}" for i in range(9)))}
 
 
+def brute_settle(links, apart):
+    """The whole graph in one sequence, until stable."""
+    near = {}
+    for a, b in {(a, b) for a, b in links if a != b}:
+        for x, y in ((a, b), (b, a)):
+            if x not in apart:
+                near.setdefault(x, []).extend([y] if y not in apart else [])
+    label, before = {n: n for n in near}, None
+    while label != before:
+        before = dict(label)
+        for n in sorted(near):
+            if near[n]:
+                heard = [label[o] for o in near[n]]
+                label[n] = min(heard, key=lambda x: (-heard.count(x), x))
+    return label
+
+
+def test_communities_settle(spark):
+    rng = random.Random(3)
+    links = [(f"g{g}n{rng.randrange(8)}", f"g{g}n{rng.randrange(8)}") for g in range(9) for _ in range(14)] + [("hub", f"g{g}n{i}") for g in range(9) for i in range(8)] + [("x", "y"), ("hub", "alone")]
+    df, apart = spark.createDataFrame(links, LINK).distinct(), spark.createDataFrame([("hub",)], "id string")
+    label = traverse.settled_labels(df, apart)
+    got = {r.id: r.label for r in label.collect()}
+    assert got == brute_settle(links, {"hub"}) and got["y"] == got["x"] and got["alone"] == "alone"
+    kept = {(a, b) for a, b in links if a != b and "hub" not in (a, b)}
+    k = {c: sum((got[a] == c) + (got[b] == c) for a, b in kept) for c in set(got.values()) - {"alone"}}
+    want = sum(sum(got[a] == got[b] == c for a, b in kept) / len(kept) - (k[c] / (2 * len(kept))) ** 2 for c in k)
+    r = traverse.modularity(traverse.without(df, apart), label, weighted=True).first()
+    assert r.n_communities == len([c for c in k if k[c]]) and r.modularity == pytest.approx(want, abs=1e-6)
+
+
 def test_store_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "function", "f"), ("b", "file", "g"), ("t", "token", "h")], "id string, kind string, label string")
     edges = spark.createDataFrame([(1, "a", "b", "CALLS"), (2, "b", "a", "CONTAINS")], "row_id long, src string, dst string, kind string")

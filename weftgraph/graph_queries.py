@@ -391,6 +391,7 @@ def _label_rounds(rounds: int) -> str:
 
 @query(f"{_NE}, {_PAIRS}, {_label_rounds(5)} SELECT id, label FROM L5")
 def call_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Labels after five synchronous rounds, not settled; :func:`settled_communities` are the communities."""
     return traverse.propagate_labels(_calls(graph.load(spark, d)), 5)
 
 
@@ -398,10 +399,33 @@ def call_communities(spark: SparkSession, d: str) -> DataFrame:
  K AS (SELECT label, count(*) AS k FROM (SELECT la AS label FROM J UNION ALL SELECT lb FROM J) GROUP BY 1), I AS (SELECT la AS label, count(*) AS n FROM J WHERE la = lb GROUP BY 1), M AS (SELECT count(*) AS m FROM U)
  SELECT count(*) AS n_communities, round(sum(coalesce(n, 0)::DOUBLE / (SELECT m FROM M) - pow(k::DOUBLE / (2 * (SELECT m FROM M)), 2)), 6) AS modularity FROM K LEFT JOIN I USING (label)""")
 def community_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Modularity of the labels after five synchronous rounds."""
     links = _calls(graph.load(spark, d))
     return traverse.modularity(links, traverse.propagate_labels(links, 5))
 
 
+def _settled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from weftgraph.operators.planner import connectors
+    from weftgraph.plans.durable import durable
+
+    g = graph.load(spark, d)
+    links = durable(_calls(g), "calls")
+    apart = durable(connectors(g).filter("is_connector").select("id"), "connectors")
+    return traverse.without(links, apart), traverse.settled_labels(links, apart)
+
+
+@query()
+def settled_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the call graph without its connectors, by sequential label propagation until nothing changes."""
+    return _settled(spark, d)[1]
+
+
+@query()
+def settled_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Number of linked settled communities and their modularity."""
+    return traverse.modularity(*_settled(spark, d), weighted=True)
+
+
 # -- findings
 _STATE = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in lifetime.STATE_OF.items()) + " END"
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +157,61 @@ def propagate_labels(links: DataFrame, rounds: int) -> DataFrame:
     return label
 
 
-def modularity(links: DataFrame, label: DataFrame) -> DataFrame:
-    """(n_communities, modularity) of a labelling of the undirected links (a, b)."""
-    e = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def settle_order(links: list[tuple[str, str, int]]) -> dict[str, str]:
+    """Label of each node of the links (a, b, weight): nodes in order of their ids take the heaviest label around, the least of several, until none changes.
+
+    A change never lessens the weight of the links inside communities, and of equal ones it takes a lesser label, so it ends.
+    """
+    near: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for a, b, w in links:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    order = sorted(near)
+    label = {n: n for n in order}
+    moved = True
+    while moved:
+        moved = False
+        for n in order:
+            weight: dict[str, int] = defaultdict(int)
+            for other, w in near[n]:
+                weight[label[other]] += w
+            best = min(weight, key=lambda x: (-weight[x], x))
+            if label[n] != best:
+                label[n], moved = best, True
+    return label
+
+
+def settled_labels(links: DataFrame, apart: DataFrame) -> DataFrame:
+    """(id, label) after sequential label propagation until nothing changes, without the nodes ``apart`` (id).
+
+    Labels never leave a connected component, so each is one group and one task; links both ways weigh two.
+    """
+    nodes = links.filter("a <> b").select(F.explode(F.array("a", "b")).alias("id")).distinct().join(apart.select("id"), "id", "left_anti")
+    e = without(links, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    e = durable(e, "weighted")
+    part = components(e.select("a", "b")).withColumnRenamed("id", "a")
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(settle_order(list(zip(rows["a"], rows["b"], rows["w"]))).items()), columns=["id", "label"])
+
+    done = e.join(part, "a").groupBy("component").applyInPandas(settle, "id string, label string")
+    return nodes.join(done, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def without(links: DataFrame, apart: DataFrame) -> DataFrame:
+    """Links (a, b) between two nodes, none of them ``apart`` (id)."""
+    e = links.filter("a <> b").select("a", "b").distinct()
+    return e.join(apart.select(F.col("id").alias("a")), "a", "left_anti").join(apart.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
+
+
+def modularity(links: DataFrame, label: DataFrame, weighted: bool = False) -> DataFrame:
+    """(n_communities, modularity) of a labelling of the undirected links (a, b); ``weighted``: links both ways weigh two."""
+    e = links.filter("a <> b").select("a", "b").distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = e.groupBy("a", "b").agg((F.count(F.lit(1)) if weighted else F.lit(1).cast("long")).alias("w"))
     l = label.select("id", "label")
     j = e.join(l.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-    ends = j.select(F.explode(F.array("la", "lb")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("k"))
-    inner = j.filter("la = lb").groupBy(F.col("la").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    m = F.lit(e.count())
+    ends = j.select(F.explode(F.array("la", "lb")).alias("label"), "w").groupBy("label").agg(F.sum("w").alias("k"))
+    inner = j.filter("la = lb").groupBy(F.col("la").alias("label")).agg(F.sum("w").alias("n"))
+    m = F.lit(e.agg(F.sum("w")).first()[0] or 0)
     q = F.coalesce("n", F.lit(0)) / m - F.pow(F.col("k") / (2 * m), 2)
     return ends.join(inner, "label", "left").agg(F.count(F.lit(1)).alias("n_communities"), F.round(F.sum(q), 6).alias("modularity"))
