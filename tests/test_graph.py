@@ -48,6 +48,15 @@ def test_contexts_match_returns(spark):
     assert got == {("x", "p"), ("x", "r"), ("x", "rx"), ("y", "p"), ("y", "r"), ("y", "ry")}
 
 
+def test_every_candidate_of_a_call(spark):
+    text = "".join(f"def {name}(): pass\n" for name, k in (("one", 1), ("two", 2), ("many", 9)) for _ in range(k)) + "one()\ntwo()\nmany()\n"
+    rows = pysource.python_graph(spark.createDataFrame([("f", "a.py", text)], "file_id string, path string, text string"))
+    ids = {name: sorted(r.node_id for r in rows.filter(f"kind = 'function' and label = '{name}'").collect()) for name in ("one", "two", "many")}
+    got = sorted(((r.rung, r.target_id) for r in pysource.resolve_locally(rows).collect()), key=str)
+    assert len(ids["many"]) == 9
+    assert got == [("conservative", i) for i in ids["two"]] + [("exact", ids["one"][0]), ("over-cap", None)]
+
+
 def brute_contexts(links, seeds, most):
     """(seed, node): distance over states of node and whole stack, of at most so many contexts."""
     out = {}

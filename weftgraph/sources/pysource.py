@@ -74,8 +74,8 @@ def python_graph(files: DataFrame) -> DataFrame:
 
 
 def resolve_locally(rows: DataFrame) -> DataFrame:
-    """(call_id, target_id, rung): calls of names that their file declares, one exactly, several conservatively up to eight."""
-    decl = rows.filter(F.col("kind").isin("function", "class")).groupBy("file_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
+    """(call_id, target_id, rung): calls of names that their file declares, one exactly, up to eight conservatively with a row each, more without a target."""
+    decl = rows.filter(F.col("kind").isin("function", "class")).groupBy("file_id", "label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("node_id")).alias("every"))
     calls = rows.filter("kind = 'call'").select("file_id", F.col("node_id").alias("call_id"), "label")
     j = calls.join(decl, ["file_id", "label"])
-    return j.select("call_id", F.when(F.col("n") <= 8, F.col("first")).alias("target_id"), F.when(F.col("n") == 1, "exact").when(F.col("n") <= 8, "conservative").otherwise("over-cap").alias("rung"))
+    return j.select("call_id", F.explode_outer(F.when(F.col("n") <= 8, F.col("every"))).alias("target_id"), F.when(F.col("n") == 1, "exact").when(F.col("n") <= 8, "conservative").otherwise("over-cap").alias("rung"))
