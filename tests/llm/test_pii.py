@@ -32,6 +32,8 @@ def found(text):
     ("Is there a Mr. tavik norquist-fen here?", {("name", "tavik norquist-fen")}),
     ("Directed by MireIIe NorqulsT", {("name", "MireIIe NorqulsT")}),
     ("I saw Dario Norquist there", {("name", "Dario Norquist")}),
+    ("I met Dario\nNorquist there, DARIO NORQUIST and Mirelle O'Keel, Tavik McHolm, TAVIK O’KEEL, TAVIK McHOLM.", {("name", n) for n in ("Dario\nNorquist", "DARIO NORQUIST", "Mirelle O'Keel", "Tavik McHolm", "TAVIK O’KEEL", "TAVIK McHOLM")}),
+    ("TAVIK Sergeant went. Dario\n\nNorquist. DARIO: No. TAVIK REAILY SAID, ask Tavik\nThen go. Dario NO", set()),
     ("Translated by Tavik\n\n2\nTAVIK: Sergeant Holwick, ask Mirelle. Synced by teamwillow, v11", set()),
     ("", set()), ("   \n", set()),
 ])

@@ -113,7 +113,17 @@ _INTRODUCED = [
         ("llamo", rf"me{_GAP}llamo{_GAP}", _STOP),
     )
 ]
-_FULL_TITLE = re.compile(r"(?<![\w'’-])(?P<g>[A-ZÀ-Þ][^\W\d_]*)(?=(?P<rest>[ \t]{1,2}(?:[A-Z]\.[ \t])?(?:(?:de|van|von|da|del|di|du)[ \t])?[A-ZÀ-Þ][a-zß-ÿ]{2,}(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w'’]))")
+_CAPITAL = r"(?:(?:Mc|Mac|[OD]['’])?[A-ZÀ-Þ][a-zß-ÿ]{2,}|(?:Mc|MC|MAC|[OD]['’])?[A-ZÀ-Þ]{3,})"
+_FULL_TITLE = re.compile(rf"(?<![\w'’-])(?P<g>[A-ZÀ-Þ][^\W\d_]*)(?=(?P<rest>(?:[ \t]{{1,2}}|[ \t]?\r?\n)(?:[A-Z]\.[ \t])?(?:(?:de|van|von|da|del|di|du)[ \t])?(?P<f>{_CAPITAL}(?:-{_CAPITAL})?))(?![\w'’:]))")
+
+# Common words that are no family name where one may stand in capitals or on the next line; folded.
+_COMMON = frozenset(
+    """about after again against all also always and any are because been before being both but can could did does even ever for from
+    had has have her here him his how into its just knew know last later like looks made may maybe might more must never not now off
+    once only our out over really said same says shall she should since some soon still such take than that the their them then there
+    they this though through told too under until upon very want wants was well went were what when where which while who why will
+    with would yes yet you your""".translate(_FOLD).split()
+)
 
 
 def _letters(word: str) -> int:
@@ -134,7 +144,9 @@ def find_names(text: str, given: frozenset[str]) -> list[tuple[int, int]]:
             if min(_letters(first), _letters(family)) >= 3 and (_style(first) == _style(family) or m[g] in given):
                 found.append(m.span("n"))
     for m in _FULL_TITLE.finditer(text):
-        if fold(m["g"]) in given:
+        # A family name in capitals goes with a given name in capitals.
+        plain = m["f"][-1].islower() and "\n" not in m["rest"]
+        if fold(m["g"]) in given and m["f"][-1].isupper() == m["g"][-1].isupper() and (plain or fold(m["f"]) not in _COMMON):
             found.append((m.start(), m.end("rest")))
     return found
 
