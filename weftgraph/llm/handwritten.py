@@ -1,7 +1,10 @@
 """Files that are generated, minified, third-party copies or data saved as code.
 
 Third-party copies: Merkle hashes are computed bottom-up over the directory trees of all units; a
-subtree that unrelated units share is a copy, as is what stands in a directory laid out for copies.
+subtree that unrelated units share is a copy. A copy in which some files were edited has another
+hash, so the same pass adds up how many bytes of each subtree lie in entries that other units hold
+too: from ``COPY_SHARE`` on it is a copy as well, its edited files included. So is what stands in a
+directory laid out for copies, or says in its comments that it comes from a foreign project.
 Generated files: the comments at the top or bottom, or the form of the name, say so. Minified files and data:
 the layout of the text, or sizes where the text is not kept.
 
@@ -20,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.notices import speaks_of_foreign_project, speaks_of_generator
 from weftgraph.plans.durable import durable
 from weftgraph.plans.spread import spread
 
@@ -45,6 +49,10 @@ DATA_SHARE, DATA_CHARS = 0.7, 150
 DATA_LINES, DATA_BYTES = 5_000, 50
 #: Bytes of a subtree from which its copies are told.
 SUBTREE_BYTES = 128
+#: Share of a subtree's bytes in entries of other units from which it is an edited copy, and the fewest such files.
+COPY_SHARE, COPY_FILES = 0.8, 3
+#: Shared entries up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 
 _LITERALS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d*)?(?:[eE][-+]?\d+)?)[uUlLfFn]*|\b(?:true|false|null|None|True|False)\b")
 _ONLY_SIGNS = re.compile(r"[\s,;:\[\](){}]*\Z")
@@ -120,8 +128,11 @@ def judge(path: str | None, lines: float | None, size: float | None, text: str |
     if MINIFIED_NAME.search(name):
         reasons.append("minified-name")
     if text is not None:
-        if GENERATED_HEADER.search(header_comment(text)) or GENERATED_HEADER.search(closing_comment(text)):
+        comments = [c for c in (header_comment(text), closing_comment(text)) if c.strip()]
+        if any(GENERATED_HEADER.search(c) or speaks_of_generator(c) for c in comments):
             reasons.append("generated-header")
+        if any(map(speaks_of_foreign_project, comments)):
+            reasons.append("copy-notice")
         if is_minified(text):
             reasons.append("minified-layout")
         if is_data(text):
@@ -142,10 +153,11 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def subtree_hashes(files: DataFrame) -> DataFrame:
-    """(unit, directory, depth, hash, n_bytes) of every directory below a unit's root.
+    """(unit, directory, depth, hash, n_bytes, n_covered, covered_bytes) of every directory below a unit's root.
 
     Bottom-up: a directory's hash is made of the names and hashes of its entries. They are added
-    up as two 64-bit hashes, so a directory of any number of entries is aggregated in parts.
+    up as two 64-bit hashes, so a directory of any number of entries is aggregated in parts. Covered
+    are the files below it that another unit holds under the same name.
     """
     f = files.filter(F.col("path").isNotNull() & F.col("content_hash").isNotNull()).select("unit", "path", "content_hash", F.coalesce("bytes", F.lit(0)).alias("n_bytes")).dropDuplicates(["unit", "path"])
     f = f.withColumn("parts", F.split("path", "/"))
@@ -160,34 +172,42 @@ def subtree_hashes(files: DataFrame) -> DataFrame:
         ),
         "entries",
     )
+    held = entries.filter("n_bytes > 0").groupBy("name", "hash").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).filter("u <> v")
+    twice = durable(held.select("name", "hash", F.lit(1).alias("held")), "held")
+    near = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    entries = entries.join(near, ["name", "hash"], "left").withColumn("n_covered", F.coalesce(F.col("held").cast("long"), F.lit(0).cast("long"))).drop("held")
+    entries = durable(entries.withColumn("covered_bytes", F.col("n_covered") * F.col("n_bytes")), "marked")
     deepest = entries.agg(F.max("depth")).first()[0] or 0
+    kept = ["unit", "directory", "name", "hash", "n_bytes", "n_covered", "covered_bytes"]
     levels = []
     above = None
     for depth in range(deepest, 1, -1):  # depth 1 is the unit's root
-        here = entries.filter(F.col("depth") == depth).select("unit", "directory", "name", "hash", "n_bytes")
+        here = entries.filter(F.col("depth") == depth).select(kept)
         if above is not None:
-            here = here.unionByName(
-                above.select("unit", F.regexp_replace("directory", "/[^/]*$", "").alias("directory"), F.element_at(F.split("directory", "/"), -1).alias("name"), "hash", "n_bytes")
-            )
+            below = above.withColumn("name", F.element_at(F.split("directory", "/"), -1)).withColumn("directory", F.regexp_replace("directory", "/[^/]*$", ""))
+            here = here.unionByName(below.select(kept))
         sums = here.groupBy("unit", "directory").agg(
             F.sum(F.xxhash64("name", "hash").cast("decimal(38,0)")).alias("a"),
             F.sum(F.xxhash64(F.lit("second"), "hash", "name").cast("decimal(38,0)")).alias("b"),
             F.count(F.lit(1)).alias("n"),
-            F.sum("n_bytes").alias("n_bytes"),
+            *[F.sum(c).alias(c) for c in ("n_bytes", "n_covered", "covered_bytes")],
         )
-        above = durable(sums.select("unit", "directory", F.lit(depth).alias("depth"), F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("hash"), "n_bytes"), "level")
+        digest = F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256)
+        above = durable(sums.select("unit", "directory", F.lit(depth).alias("depth"), digest.alias("hash"), "n_bytes", "n_covered", "covered_bytes"), "level")
         levels.append(above)
-    out = levels[0] if levels else entries.limit(0).select("unit", "directory", "depth", "hash", "n_bytes")
+    out = levels[0] if levels else entries.limit(0).select("unit", "directory", "depth", "hash", "n_bytes", "n_covered", "covered_bytes")
     for level in levels[1:]:
         out = out.unionByName(level)
     return out
 
 
 def shared_subtrees(hashes: DataFrame) -> DataFrame:
-    """(unit, directory): subtrees that at least two units hold."""
+    """(unit, directory): subtrees that at least two units hold, whole or but for edited files."""
     told = hashes.filter(F.col("n_bytes") >= SUBTREE_BYTES)
     twice = told.groupBy("hash").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).filter("u <> v").select("hash")
-    return told.join(twice, "hash", "left_semi").select("unit", "directory")
+    whole = told.join(twice, "hash", "left_semi").select("unit", "directory")
+    edited = told.filter((F.col("n_covered") >= COPY_FILES) & (F.col("covered_bytes") >= COPY_SHARE * F.col("n_bytes"))).select("unit", "directory")
+    return whole.unionByName(edited)
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
