@@ -54,7 +54,66 @@ def test_placeholders_link_equal_values():
     a = pii.redact("Call 555-0119 now, says Dario Norquist.", GIVEN)
     b = pii.redact("It's 555-O1l9. My name is Norquist, Dario.", GIVEN)
     assert a.split("]")[0].split("[")[1] == b.split("]")[0].split("[")[1] and "555-01" not in a
-    assert a.split("[NAME ")[1][:8] == b.split("[NAME ")[1][:8] and a.endswith("].")
+    assert a.split("[NAME ")[1][:26] == b.split("[NAME ")[1][:26] and a.endswith("].")
+
+
+# Names in sentences of other wording than the data's: (text, names).
+OTHER_WORDING = [
+    ("They say her name was Ysolde Tarrant, once.", ["Ysolde Tarrant"]),
+    ("They say her name was Ysolde Tarrant.", ["Ysolde Tarrant"]),
+    ("A boy called Ruben Ashgrove!", ["Ruben Ashgrove"]),
+    ("Professor Ysolde Tarrant is late.", ["Ysolde Tarrant"]),
+    ("Sra. Nieves Robledo llega.", ["Nieves Robledo"]),
+    ("Frau Ilse von Brandt, bitte.", ["Ilse von Brandt"]),
+    ("Edited by Ruben T. Ashgrove", ["Ruben T. Ashgrove"]),
+    ("Untertitel: Ilse Brandt", ["Ilse Brandt"]),
+    ("Sottotitoli: Carla Ferrante\nfine", ["Carla Ferrante"]),
+    ("Mi chiamo Carla Ferrante.", ["Carla Ferrante"]),
+    ("mr. ruben ashgrove was here", ["ruben ashgrove"]),
+    ("THE DEFENDANT, RUBEN ASHGROVE, HAS LEFT", ["RUBEN ASHGROVE"]),
+    ("My name is not important. MY NAME IS NOT KNOWN. Dr. Ashgrove said", []),
+    ("Yes, se\u00f1or.\nHasta Luego, friend", []),
+    ("Produced by hand. Directed by\n\nRuben Ashgrove", []),
+    ("Inspector Ashgrove Will not", []),
+]
+
+
+@pytest.mark.parametrize("text,want", OTHER_WORDING)
+def test_names_in_other_wording(text, want):
+    assert [text[a:b] for a, b in pii.find_names(text, frozenset())] == want
+
+
+def test_gates_lose_nothing():
+    texts = [p for t in test_items.pytestmark[0].args[1] for p in (t[0], f"Before it.\r\n{t[0]}\r\nAfter it", t[0].upper(), t[0].replace(" ", "\n", 1))] + [t for t, _ in OTHER_WORDING]
+    may = pii.gates(pii.pa.array(texts))
+    for i, t in enumerate(texts):
+        assert pii.find_items(t, GIVEN, {k: v[i] for k, v in may.items()}) == pii.find_items(t, GIVEN), t
+
+
+def test_numbers_keep_their_format():
+    a, b = pii.permuted_number("phone", "+49 30 23125-118", b"k"), pii.permuted_number("phone", "+49 30 23125 118", b"k")
+    assert a.startswith("+49 ") and a[-4] == "-" and a != "+49 30 23125-118" and pii.number_of(a) == pii.number_of(b)
+    for n in (12345678, 1, 99999999):
+        letter = pii._CHECK_LETTERS[n % 23]
+        new = pii.permuted_number("id_number", f"{n:08d}-{letter}", b"k")
+        assert pii._CHECK_LETTERS[int(new[:8]) % 23] == new[-1] and new[8] == "-"
+
+
+def test_birth_dates_stay_dates():
+    assert {pii.permuted_day(d, b"k") for d in range(pii._DAYS[0], pii._DAYS[0] + 3000)}.__len__() == 3000
+    same = [pii.redact(t, GIVEN, b"k") for t in ("Born on 1984-03-09.", "DOB: 09/03/1984")]
+    year, month, day = same[0].split("[DATE ")[1].split("]")[0].split("-")
+    assert same[1] == f"DOB: [DATE {day}/{month}/{year}]" and same[0] != "Born on [DATE 1984-03-09]."
+    assert pii.redact("born 31.02.1990, on 1984-03-09", GIVEN) == "born 31.02.1990, on 1984-03-09"
+
+
+def test_many_given_names_are_joined(spark):
+    docs = spark.createDataFrame([(1, "I saw Tavik Norquist there"), (2, "I saw Oderin Norquist there"), (3, None), (4, "TAVIK NORQUIST went")], "doc_id long, text string")
+    given = spark.createDataFrame([("Tavik",), ("Mirelle",), (None,)], "given_name string")
+    rows, names = pii.with_given(docs, given, most=1)
+    assert names is None and {r.doc_id: r.given for r in rows.collect()} == {1: [pii.fold("Tavik")], 2: [], 3: [], 4: [pii.fold("Tavik")]}
+    near, names = pii.with_given(docs, given)
+    assert names == {pii.fold("Tavik"), pii.fold("Mirelle")}
 
 
 def test_tables(spark):
