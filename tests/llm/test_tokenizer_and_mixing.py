@@ -12,19 +12,39 @@ pytestmark = pytest.mark.skipif(not os.path.exists(tokenizer.VOCABULARY), reason
 PARTS = [" ", "  ", "\n", "\r\n", "a", "bc", "'s", "'ll", "9", "é", "中", "!", "\t", "x" * 60, " " * 30, "don't ", "<|endoftext|>"]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(64, 16), (30, 30), (16, 4), (1 << 18, 1 << 12)])
-def test_ids_are_those_of_whole_texts(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,scattered", [(64, 16, 1 << 18), (64, 16, 200), (30, 30, 40), (16, 4, 0), (2048, 128, 1 << 18)])
+def test_ids_are_those_of_whole_texts(spark, chunk, overlap, scattered):
     rng = random.Random(chunk)
     docs = [(i, "".join(rng.choice(PARTS) for _ in range(rng.choice([0, 3, 50, 200]))), "ids") for i in range(60)]
     docs += [(100, None, ""), (101, "", ""), (102, "a" * 900, ""), (103, " " * 900, ""), (3, docs[3][1], "")]
     df = spark.createDataFrame(docs, "doc_id long, text string, ids string")
     enc = tokenizer.encoding(tokenizer.VOCABULARY)
-    got = sorted((r.doc_id, list(r.ids)) for r in tokenizer.encode_corpus(df, chunk=chunk, overlap=overlap).collect())
+    got = sorted((r.doc_id, list(r.ids)) for r in tokenizer.encode_corpus(df, chunk=chunk, overlap=overlap, scattered=scattered).collect())
     assert got == sorted((i, enc.encode_ordinary(t) if t else []) for i, t, _ in docs)
+    sized = tokenizer.count_tokens(df, chunk=chunk, overlap=overlap, scattered=scattered)
+    assert sized.columns == ["doc_id", "ids", "n_tokens"] and sorted((r.doc_id, r.n_tokens) for r in sized.collect()) == sorted((i, len(x)) for i, x in got)
     texts = {i: t or "" for i, t, _ in docs}
     assert all(tokenizer.decode(ids) == texts[i] for i, ids in got if i != 3)
 
 
+def test_certain_boundaries():
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice(PARTS) for _ in range(40))
+        start = rng.randrange(len(text) - 1)
+        late = {start + p for p in tokenizer.boundaries(text[start:])} - {start}
+        sure = {p for p in range(start + 1, len(text)) if tokenizer.certain(text, p)}
+        assert sure <= late and sure <= set(tokenizer.boundaries(text))
+        assert "".join(tokenizer.pieces(text, 24, 8)) == text
+
+
+def test_long_texts_are_cut():
+    text = "word " * 2000 + "a" * 5000 + " word" * 2000
+    parts = tokenizer.pieces(text)
+    assert "".join(parts) == text and len(parts) > 8 and max(map(len, parts)) < 5000 + 3 * tokenizer.CHUNK
+    assert tokenizer.encode(text) == tokenizer.encoding(tokenizer.VOCABULARY).encode_ordinary(text)
+
+
 DOC = "doc_id long, text string, source string, max_repeats string, size long"
 TARGET = "source string, target_share double, max_repeats long, budget long"
 

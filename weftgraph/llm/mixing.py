@@ -37,10 +37,10 @@ def targets_of(mix_targets: DataFrame) -> DataFrame:
 def sized_texts(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(source, doc_id, n_tokens): every distinct text once, with its size in tokens."""
     near = F.broadcast(targets.select("source")) if targets.count() <= BROADCAST_ROWS else targets.select("source")
-    rows = documents.filter(F.length("text") > 0).join(near, "source", "left_semi").select("source", "doc_id", "text")
-    keyed = rows.select("doc_id", "source", F.sha2("text", 256).alias("text_key"))
-    chosen = keyed.groupBy("text_key").agg(F.min(F.struct("doc_id", "source")).alias("x")).select("x.doc_id", "x.source").distinct()
-    return count_tokens(rows.dropDuplicates(["doc_id", "source"]).join(chosen, ["doc_id", "source"], "left_semi"), vocabulary=vocabulary)
+    rows = documents.filter(F.length("text") > 0).join(near, "source", "left_semi")
+    # sizes and keys are made where the texts are read, so no text is shuffled
+    sized = count_tokens(rows.select("doc_id", "source", F.sha2("text", 256).alias("text_key"), "text"), vocabulary=vocabulary)
+    return sized.groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("x")).select("x.source", "x.doc_id", "x.n_tokens").dropDuplicates(["doc_id", "source"])
 
 
 def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 17) -> tuple[DataFrame, DataFrame]:
