@@ -82,6 +82,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "wire_nodes"), table(spark, d, "shards"))
 
 
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that correspond by similarity flooding, their scores, and whether the values bear a rename out."""
+    return drift.correspondences(table(spark, d, "wire_nodes"), table(spark, d, "shards"))
+
+
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All records of complete shards in one consistent table of named, typed values."""
     return drift.consistent_table(table(spark, d, "wire_nodes"), table(spark, d, "shards"))
@@ -104,7 +109,7 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return keycounts.edge_profile(e, "kind").unionByName(keycounts.edge_profile(e, "dst"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p3_found, p3_report, p4_found, p4_tables, p4_schema, p6_found, p6_table, p7_found, p7_counts, p7_profile)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p3_found, p3_report, p4_found, p4_tables, p4_schema, p6_found, p6_matches, p6_table, p7_found, p7_counts, p7_profile)}
 
 _LINKS = """links AS (SELECT DISTINCT dst AS child, src AS parent FROM edges
  WHERE coalesce(semantic_kind, kind) IN ('PACKAGE_CONTAINS','CONTAINS','CONTAINS_BODY','AST_CHILD')

@@ -2,9 +2,13 @@
 
 Every complete shard has a schema graph: fields with their names, value types and inner names. The
 graphs of a shard and its predecessor are matched by similarity flooding: name similarities spread
-over the pairs of fields, types and inner names until they settle. Of the correspondences between
-vanished and new fields those are kept whose values agree on every record of both shards; the score
-settles which, if several do.
+over the pairs of fields, types and inner names until they settle. A vanished and a new field
+correspond if their settled score reaches a share of the best score that either has among the
+vanished and new fields. Only correspondences are compared by value; they are renames if the values
+agree on every record of both shards, the best scores that fit together if several do.
+
+Every record is opened once, into one row of its field names, types and value marks; no text is
+shuffled, and values meet only between the two shards of a pair that has a correspondence.
 
 Defined cases: repeated records count once; of several records of an id in one shard the last one
 (by record number) is compared; records without an id count for the fields only; null or malformed
@@ -22,31 +26,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import wirejson
 from weftgraph.operators.flatten import versioned_records
 from weftgraph.plans.durable import durable
+from weftgraph.plans.spread import spread
 
-FIELDS = "shard_id string, record_no long, id string, field string, type string, inner array<string>, value_hash binary, value string"
+FIELDS = "shard_id string, record_no long, id string, field string, type string, value string"
+OPENED = "shard_id string, record_no long, id string, fields array<string>, types array<string>, inner array<array<string>>, marks array<string>"
 #: Rounds of flooding and the change of the scores at which it has settled.
 ROUNDS, SETTLED = 60, 1e-4
+#: Share of the best score of either field from which two fields correspond.
+RELATIVE = 0.2
+#: Candidates up to which they are broadcast to the records.
+BROADCAST_PAIRS = 20_000
 #: Canonical names up to which the mapping is broadcast.
 BROADCAST_NAMES = 50_000
 
 
+def _plain(v) -> str | None:
+    return None if v is None else json.dumps(wirejson.canonical(v), sort_keys=True) if isinstance(v, (list, dict)) else wirejson.scalar_text(v)
+
+
 def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for shard, no, i, text, version in zip(b["shard_id"], b["record_no"], b["id"], b["properties"], b["format_version"]):
             for k, v in (wirejson.decode(text, None if pd.isna(version) else int(version)) or {}).items():
-                kind = wirejson.type_name(v)
-                form = None if v is None else json.dumps(wirejson.canonical(v), sort_keys=True)
-                inner = list(v) if isinstance(v, dict) else sorted({n for x in v if isinstance(x, dict) for n in x}) if isinstance(v, list) else []
-                plain = None if v is None else form if kind in ("list", "object") else wirejson.scalar_text(v)
-                out.append((shard, no, i, k, kind, inner, None if form is None else hashlib.md5(form.encode()).digest(), plain))
-        yield pd.DataFrame(out, columns=["shard_id", "record_no", "id", "field", "type", "inner", "value_hash", "value"])
+                out.append((shard, no, i, k, wirejson.type_name(v), _plain(v)))
+        yield pd.DataFrame(out, columns=["shard_id", "record_no", "id", "field", "type", "value"])
+
+
+def _mark(kind: str | None, v) -> str | None:
+    """Equal exactly for values of equal type and content."""
+    if kind is None:
+        return None
+    plain = repr(v) if kind == "real" else _plain(v)
+    return f"{kind}:{plain}" if len(plain) <= 40 else f"{kind}#{hashlib.md5(plain.encode()).hexdigest()}"
+
+
+def _inner(v) -> list[str]:
+    if isinstance(v, dict):
+        return list(v)
+    return sorted({n for x in v if isinstance(x, dict) for n in x}) if isinstance(v, list) else []
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = pa.list_(pa.string())
+    for b in batches:
+        fields, types, inner, marks = [], [], [], []
+        for text, version in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            props = wirejson.decode(text, version) or {}
+            kinds = [wirejson.type_name(v) for v in props.values()]
+            fields.append(list(props))
+            types.append(kinds)
+            inner.append([_inner(v) for v in props.values()])
+            marks.append([_mark(k, v) for k, v in zip(kinds, props.values())])
+        columns = [pa.array(fields, names), pa.array(types, names), pa.array(inner, pa.list_(names)), pa.array(marks, names)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["shard_id", "record_no", "id", "fields", "types", "inner", "marks"])
 
 
 def shard_order(shards: DataFrame) -> DataFrame:
@@ -62,6 +102,13 @@ def record_fields(wire: DataFrame, shards: DataFrame) -> DataFrame:
     return kept.select("shard_id", "record_no", "id", "properties", "format_version").mapInPandas(_open, FIELDS)
 
 
+def opened_records(wire: DataFrame, shards: DataFrame) -> DataFrame:
+    """One row per record of a complete shard: its top-level fields, their types, inner names and value marks. Repeated records stay."""
+    order = shard_order(shards).select("shard_id", "format_version")
+    rows = wire.select("shard_id", "record_no", "id", "properties").join(order, "shard_id")
+    return spread(rows.select("shard_id", "record_no", "id", "properties", "format_version"), "record_no").mapInArrow(_open_rows, OPENED)
+
+
 def name_parts(name: str) -> list[str]:
     return re.findall(r"[a-z]+|[0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower())
 
@@ -119,76 +166,85 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if gone and came:
                 score = flood(list(o.values()), list(n.values()))
                 at_old, at_new = {x: i for i, x in enumerate(o)}, {x: i for i, x in enumerate(n)}
-                out += [(shard, before, x[0], y[0], "candidate", float(score[at_old[x[0]], at_new[y[0]]])) for x in gone for y in came]
+                among = score[np.ix_([at_old[x[0]] for x in gone], [at_new[y[0]] for y in came])]
+                best = np.maximum(among.max(1)[:, None], among.max(0)[None, :])
+                for i, k in zip(*np.nonzero(among >= RELATIVE * best)):
+                    out.append((shard, before, gone[i][0], came[k][0], "candidate", float(among[i, k])))
         yield pd.DataFrame(out, columns=["shard_id", "before", "old_field", "new_field", "change", "score"])
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the correspondences of a shard that the values bear out, the best ones that fit together."""
+    """The changes of a shard: of the correspondences that the values bear out the best ones that fit together, and what is left."""
     for b in batches:
         out = []
-        for shard, pairs in zip(b["shard_id"], b["pairs"]):
+        for shard, changes, pairs in zip(b["shard_id"], b["changes"], b["pairs"]):
             left, right = set(), set()
-            for p in sorted(pairs, key=lambda p: (-p["score"], p["old_field"], p["new_field"])):
+            for p in sorted(pairs if pairs is not None else [], key=lambda p: (-p["score"], p["old_field"], p["new_field"])):
                 if p["old_field"] not in left and p["new_field"] not in right:
                     left.add(p["old_field"])
                     right.add(p["new_field"])
-                    out.append((shard, p["old_field"], p["new_field"]))
-        yield pd.DataFrame(out, columns=["shard_id", "old_field", "new_field"])
+                    out.append((shard, p["old_field"], p["new_field"], "renamed"))
+            for c in changes:
+                if not (c["change"] == "removed" and c["old_field"] in left or c["change"] == "added" and c["new_field"] in right):
+                    out.append((shard, c["old_field"], c["new_field"], c["change"]))
+        yield pd.DataFrame(out, columns=["shard_id", "old_field", "new_field", "change"])
 
 
-def schema_changes(wire: DataFrame, shards: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """(shard_id, old_field, new_field, change): added, removed, renamed and retyped fields per shard."""
-    fields = durable(record_fields(wire, shards), "fields") if fields is None else fields
-    order = shard_order(shards)
-    pairs = order.filter(F.col("before").isNotNull()).select("shard_id", "before")
-    per = fields.groupBy("shard_id", "field").agg(F.collect_set("type").alias("types"), F.array_distinct(F.flatten(F.collect_set("inner"))).alias("inner"))
+def matches(opened: DataFrame, shards: DataFrame) -> DataFrame:
+    """(shard_id, before, old_field, new_field, change, score): what the schema graphs of every pair of shards say.
+
+    ``change`` is removed, added, retyped, or candidate for two fields that correspond.
+    """
+    pairs = shard_order(shards).filter(F.col("before").isNotNull()).select("shard_id", "before")
+    each = opened.select("shard_id", F.explode(F.arrays_zip("fields", "types", "inner")).alias("f")).select("shard_id", F.col("f.fields").alias("field"), F.col("f.types").alias("type"), F.col("f.inner").alias("inner"))
+    per = each.groupBy("shard_id", "field").agg(F.collect_set("type").alias("types"), F.array_distinct(F.flatten(F.collect_set("inner"))).alias("inner"))
     schemas = per.groupBy("shard_id").agg(F.collect_list(F.struct("field", "types", "inner")).alias("fields"))
     both = pairs.join(schemas.select("shard_id", F.col("fields").alias("new_fields")), "shard_id", "left").join(
         schemas.select(F.col("shard_id").alias("before"), F.col("fields").alias("old_fields")), "before", "left"
     )
-    matched = durable(both.select("shard_id", "before", "old_fields", "new_fields").mapInPandas(_match, "shard_id string, before string, old_field string, new_field string, change string, score double"), "matched")
-
-    # Values of vanished and new fields, on the ids that both shards hold.
-    last = fields.filter(F.col("id").isNotNull()).groupBy("shard_id", "id").agg(F.max("record_no").alias("record_no"))
-    wire_last = versioned_records(wire, shards).filter(F.col("id").isNotNull()).groupBy("shard_id", "id").agg(F.max("record_no").alias("record_no"))
-    last = durable(last.unionByName(wire_last).groupBy("shard_id", "id").agg(F.max("record_no").alias("record_no")).join(order.select("shard_id"), "shard_id", "left_semi"), "last")
-    common = (
-        pairs.join(last.select("shard_id", "id", F.col("record_no").alias("new_no")), "shard_id")
-        .join(last.select(F.col("shard_id").alias("before"), "id", F.col("record_no").alias("old_no")), ["before", "id"])
-    )
-    common = durable(common, "common")
-    known = fields.filter(F.col("type").isNotNull())
-    gone = matched.filter("change = 'removed'").select("shard_id", "before", "old_field")
-    came = matched.filter("change = 'added'").select("shard_id", "new_field")
-    old = (
-        gone.join(known.select(F.col("shard_id").alias("before"), F.col("field").alias("old_field"), F.col("record_no").alias("old_no"), "value_hash"), ["before", "old_field"])
-        .join(common.select("shard_id", "id", "old_no"), ["shard_id", "old_no"])
-        .select("shard_id", "id", "old_field", "value_hash")
-    )
-    new = (
-        came.join(known.select("shard_id", F.col("field").alias("new_field"), F.col("record_no").alias("new_no"), "value_hash"), ["shard_id", "new_field"])
-        .join(common.select("shard_id", "id", "new_no"), ["shard_id", "new_no"])
-        .select("shard_id", "id", "new_field", "value_hash")
-    )
-    n_old = old.groupBy("shard_id", "old_field").agg(F.count(F.lit(1)).alias("n_old"))
-    n_new = new.groupBy("shard_id", "new_field").agg(F.count(F.lit(1)).alias("n_new"))
-    equal = old.join(new, ["shard_id", "id", "value_hash"]).groupBy("shard_id", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"))
-    borne_out = (
-        matched.filter("change = 'candidate'")
-        .join(equal, ["shard_id", "old_field", "new_field"])
-        .join(n_old, ["shard_id", "old_field"])
-        .join(n_new, ["shard_id", "new_field"])
-        .filter("n = n_old and n = n_new")
-    )
-    grouped = borne_out.groupBy("shard_id").agg(F.collect_list(F.struct("old_field", "new_field", "score")).alias("pairs"))
-    renamed = durable(grouped.mapInPandas(_settle, "shard_id string, old_field string, new_field string"), "renamed")
-    single = matched.filter("change in ('removed', 'added')").select("shard_id", "old_field", "new_field", "change")
-    removed = single.filter("change = 'removed'").join(renamed.select("shard_id", "old_field"), ["shard_id", "old_field"], "left_anti")
-    added = single.filter("change = 'added'").join(renamed.select("shard_id", "new_field"), ["shard_id", "new_field"], "left_anti")
-    retyped = matched.filter("change = 'retyped'")
-    out = ["shard_id", "old_field", "new_field", "change"]
-    return removed.select(out).unionByName(added.select(out)).unionByName(renamed.withColumn("change", F.lit("renamed")).select(out)).unionByName(retyped.select(out))
+    found = spread(both.select("shard_id", "before", "old_fields", "new_fields"), "shard_id").mapInPandas(_match, "shard_id string, before string, old_field string, new_field string, change string, score double")
+    return found
+
+
+def _value(fields: Column, marks: Column, field: Column) -> Column:
+    at = F.array_position(fields, field)
+    return F.when(at > 0, F.get(marks, (at - 1).cast("int")))
+
+
+def borne_out(opened: DataFrame, matched: DataFrame) -> DataFrame:
+    """(shard_id, old_field, new_field, score): candidates whose values agree on every id of both shards and are not all null."""
+    grouped = matched.filter("change = 'candidate'").groupBy("shard_id", "before").agg(F.collect_list(F.struct("old_field", "new_field", "score")).alias("pairs"))
+    grouped = durable(grouped, "candidates")
+    near = F.broadcast if grouped.count() <= BROADCAST_PAIRS else (lambda df: df)
+    wanted = grouped.select("shard_id").unionByName(grouped.select(F.col("before").alias("shard_id"))).distinct()
+    known = opened.filter(F.col("id").isNotNull()).join(near(wanted), "shard_id", "left_semi")
+    last = known.groupBy("shard_id", "id").agg(F.max(F.struct("record_no", "fields", "marks")).alias("x")).select("shard_id", "id", "x.fields", "x.marks")
+    new = last.join(near(grouped), "shard_id").select("shard_id", "before", "id", "pairs", F.col("fields").alias("new_fields"), F.col("marks").alias("new_marks"))
+    old = last.select(F.col("shard_id").alias("before"), "id", "fields", "marks")
+    valued = new.join(old, ["before", "id"]).select(
+        "shard_id",
+        F.explode(F.transform("pairs", lambda p: F.struct(p["old_field"].alias("old_field"), p["new_field"].alias("new_field"), p["score"].alias("score"), _value(F.col("fields"), F.col("marks"), p["old_field"]).alias("a"), _value(F.col("new_fields"), F.col("new_marks"), p["new_field"]).alias("b")))).alias("p"),
+    ).select("shard_id", "p.*")
+    judged = valued.groupBy("shard_id", "old_field", "new_field", "score").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("equal"), F.bool_or(F.col("a").isNotNull()).alias("known"))
+    return judged.filter("equal and known").select("shard_id", "old_field", "new_field", "score")
+
+
+def schema_changes(wire: DataFrame, shards: DataFrame) -> DataFrame:
+    """(shard_id, old_field, new_field, change): added, removed, renamed and retyped fields per shard."""
+    opened = durable(opened_records(wire, shards), "opened")
+    matched = durable(matches(opened, shards), "matched")
+    pairs = borne_out(opened, matched).groupBy("shard_id").agg(F.collect_list(F.struct("old_field", "new_field", "score")).alias("pairs"))
+    changes = matched.filter("change <> 'candidate'").groupBy("shard_id").agg(F.collect_list(F.struct("old_field", "new_field", "change")).alias("changes"))
+    return changes.join(pairs, "shard_id", "left").select("shard_id", "changes", "pairs").mapInPandas(_settle, "shard_id string, old_field string, new_field string, change string")
+
+
+def correspondences(wire: DataFrame, shards: DataFrame) -> DataFrame:
+    """(shard_id, old_field, new_field, score, borne_out): the pairs of fields that the flooding finds, and whether the values agree."""
+    opened = durable(opened_records(wire, shards), "opened")
+    matched = durable(matches(opened, shards), "matched")
+    found = borne_out(opened, matched).select("shard_id", "old_field", "new_field", F.lit(True).alias("borne_out"))
+    pairs = matched.filter("change = 'candidate'").select("shard_id", "old_field", "new_field", F.round("score", 6).alias("score"))
+    return pairs.join(found, ["shard_id", "old_field", "new_field"], "left").withColumn("borne_out", F.coalesce("borne_out", F.lit(False)))
 
 
 def _common_names(renames: list[tuple[str, str, int]], uses: dict[str, int]) -> dict[str, str]:
@@ -219,7 +275,7 @@ def consistent_table(wire: DataFrame, shards: DataFrame) -> DataFrame:
     names go to the driver: they are the schema's size.
     """
     fields = durable(record_fields(wire, shards), "fields")
-    changes = schema_changes(wire, shards, fields)
+    changes = schema_changes(wire, shards)
     renames = [tuple(r) for r in changes.filter("change = 'renamed'").groupBy("old_field", "new_field").count().collect()]
     uses = {r[0]: r[1] for r in fields.groupBy("field").count().collect()}
     names = fields.sparkSession.createDataFrame(list(_common_names(renames, uses).items()) or [("", "")], "field string, name string")
