@@ -147,12 +147,13 @@ def _edges(chunk: int, overlap: int):
 
 
 def _scattered(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row_no, piece_no, part): the pieces of texts whose chunks are dealt out; rows are (row_no, text)."""
+    """(row_no, row, piece_no, part): the pieces of texts whose chunks are dealt out; rows are (row_no, row, text)."""
     last = F.ceil(F.length("text") / F.lit(chunk)).cast("int") - 1
     # the parts are cut beside the one copy of the text, and only they leave the row
     cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk_no"), F.substring("text", k * chunk + 1, F.lit(chunk + overlap)).alias("part"), (k * chunk + chunk + overlap >= F.length("text")).alias("last")))
-    chunks = long.select("row_no", F.explode(cut).alias("c")).select("row_no", "c.chunk_no", "c.part", "c.last").repartition("row_no", "chunk_no")
-    marked = chunks.mapInArrow(_edges(chunk, overlap), "row_no long, chunk_no int, part string, last boolean, heads array<long>, tails array<long>")
+    kind = long.schema["row"].dataType.simpleString()
+    chunks = long.select("row_no", "row", F.explode(cut).alias("c")).select("row_no", "row", "c.chunk_no", "c.part", "c.last").repartition("row_no", "chunk_no")
+    marked = chunks.mapInArrow(_edges(chunk, overlap), f"row_no long, row {kind}, chunk_no int, part string, last boolean, heads array<long>, tails array<long>")
     w = Window.partitionBy("row_no").orderBy("chunk_no")
     start = F.when(F.col("chunk_no") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w))))
     placed = marked.withColumn("start", start).withColumn("next_start", F.lead("start").over(w)).drop("heads", "tails")
@@ -163,7 +164,7 @@ def _scattered(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     end = F.coalesce(F.col("next_start") - at, F.when(F.lead("chunk_no").over(w).isNotNull(), F.lit(chunk)), F.lit(chunk + overlap)).cast("long")
     parts = placed.withColumn("piece_no", piece_no).withColumn("begin", begin).withColumn("end", end)
     parts = parts.withColumn("part", F.substring("part", (F.col("begin") + 1).cast("int"), F.greatest(F.col("end") - F.col("begin"), F.lit(0)).cast("int")))
-    return parts.groupBy("row_no", "piece_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))), lambda x: x["part"]), "").alias("part"))
+    return parts.groupBy("row_no", "piece_no").agg(F.first("row").alias("row"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))), lambda x: x["part"]), "").alias("part"))
 
 
 def _run(rows: DataFrame, others: list[str], text: str, vocabulary: str, chunk: int, overlap: int, scattered: int, sizes: bool) -> DataFrame:
@@ -173,11 +174,13 @@ def _run(rows: DataFrame, others: list[str], text: str, vocabulary: str, chunk:
     work = _encoded(vocabulary, chunk, overlap, sizes)
     is_long = F.coalesce(F.length("text") > scattered, F.lit(False))
     near = rows.filter(~is_long).mapInArrow(work, schema(rows, others, made))
-    # the cut text and its row are told by a number that a repeated task gives again, the input being the same
-    long = rows.filter(is_long).withColumn("row_no", F.xxhash64(F.monotonically_increasing_id(), *others))
-    found = _scattered(long.select("row_no", "text"), chunk, overlap).mapInArrow(work, "row_no long, piece_no int, " + made)
+    # a number that a repeated task gives again, the input being the same
+    long = rows.filter(is_long).select(F.xxhash64(F.monotonically_increasing_id(), *others).alias("row_no"), F.struct(*others).alias("row"), "text")
+    cut = _scattered(long, chunk, overlap).select("row_no", "row", "piece_no", "part")
+    found = cut.mapInArrow(work, schema(cut, ["row_no", "row", "piece_no"], made))
     whole = F.sum("n_tokens").alias("n_tokens") if sizes else F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))), lambda x: x["ids"])).alias("ids")
-    far = long.select("row_no", *others).join(found.groupBy("row_no").agg(whole), "row_no").drop("row_no")
+    far = found.groupBy("row_no").agg(F.first("row").alias("row"), whole)
+    far = far.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "n_tokens" if sizes else "ids")
     return near.unionByName(far)
 
 
