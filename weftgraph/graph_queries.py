@@ -72,7 +72,7 @@ def package_inventory(spark: SparkSession, d: str) -> DataFrame:
     return graph.load(spark, d).nodes.filter("kind = 'package'").select(F.coalesce("package_name", "label").alias("package")).distinct()
 
 
-@query(r"""SELECT DISTINCT path, coalesce(regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec|fixtures)(/|$)|(^|/)test_[^/]*$|[._-](test|spec)\.[a-z]+$'), false) AS is_test,
+@query(r"""SELECT DISTINCT path, coalesce(regexp_matches(path, '(?i)\.(test|spec)\.|\.integration\.|\.e2e\.|(^|/)__tests__/|(^|/)tests?/|_test\.|(^|/)selftests/|(^|/)tools/testing/|(^|/)test_[^/]*\.py$|(^|/)conftest\.py$'), false) AS is_test,
  coalesce(list_has_any(string_split(lower(path), '/'), ['node_modules','vendor','vendors','third_party','third-party']), false) AS is_external,
  CASE WHEN len(string_split(path, '/')) <= 1 THEN '.' ELSE array_to_string(string_split(path, '/')[1:least(2, len(string_split(path, '/')) - 1)], '/') END AS component FROM files WHERE path IS NOT NULL""")
 def path_predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -81,11 +81,14 @@ def path_predicates(spark: SparkSession, d: str) -> DataFrame:
     return f.select("path", navigate.is_test_path(p).alias("is_test"), navigate.is_external_path(p).alias("is_external"), navigate.component_of(p, 2).alias("component"))
 
 
-@query(
-    f"""WITH {_N} SELECT kind, CASE WHEN kind IN ('argument','call-value','return','return-value') THEN 'T2' WHEN kind IN ({_kinds(schema.NODE_KINDS['project-structure'])}) THEN 'T0'
- WHEN kind IN ('function','method','class','type') THEN 'T1' WHEN kind IN ({_kinds(schema.NODE_KINDS['declaration'] + schema.NODE_KINDS['value'])}) THEN 'T2'
- WHEN kind IN ({_kinds(schema.NODE_KINDS['executable'] + schema.NODE_KINDS['control-runtime'])}) THEN 'T3' ELSE 'T4' END AS tier, count(*) AS n FROM N GROUP BY 1, 2"""
-)
+# The layers as the blueprint lists them, for the kinds that the tables can hold.
+_TIER = """CASE WHEN kind = 'symbol' THEN 'T1' WHEN kind IN ('project','package','module','file','external-module','import-cycle') THEN 'T0'
+ WHEN kind IN ('function','method','constructor','class','interface','type','enum','record','dynamic-behavior','singleton','module-state','module-initializer','static-initializer','function-effect','route','boundary','decorator') THEN 'T1'
+ WHEN kind IN ('source','sink','taint-reach') THEN 'T2'
+ WHEN kind IN ('statement','expression','identifier','operation','call','construct','argument','return-value','cfg-entry','cfg-exit','cfg-condition','cfg-merge','cfg-block','unreachable-region','phi','type-refinement','scope') THEN 'T3' ELSE 'T4' END"""
+
+
+@query(f"WITH {_N} SELECT kind, {_TIER} AS tier, count(*) AS n FROM N GROUP BY 1, 2")
 def tiers(spark: SparkSession, d: str) -> DataFrame:
     return graph.load(spark, d).nodes.groupBy("kind", schema.tier(F.col("kind")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -164,24 +167,55 @@ def file_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- rankings and roll-ups
-@query(f"""{_NE}, {_PAIRS}, X AS (SELECT callee AS id, 1 AS i, 0 AS o FROM P UNION ALL SELECT caller, 0, 1 FROM P)
- SELECT x.id, any_value(label) AS label, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out, (sum(i) + sum(o))::BIGINT AS degree FROM X x JOIN N ON N.id = x.id GROUP BY x.id""")
+# The callable that a node stands in: owners are climbed to the first function, method or constructor.
+_OWNED = """CL(id, up, hops) AS (SELECT id, CASE WHEN kind IN ('function','method','constructor') THEN id ELSE coalesce(owner_function_id, function_id) END, 0 FROM N
+ UNION SELECT c.id, coalesce(n.owner_function_id, n.function_id), c.hops + 1 FROM CL c JOIN N n ON n.id = c.up WHERE n.kind NOT IN ('function','method','constructor') AND c.hops < 32),
+ O AS (SELECT c.id, any_value(c.up) AS callable_id FROM CL c JOIN N n ON n.id = c.up WHERE n.kind IN ('function','method','constructor') GROUP BY c.id)"""
+_UNION_PAIRS = """UP AS (SELECT DISTINCT coalesce(o.callable_id, n.id) AS caller, e.dst AS callee FROM E e JOIN N n ON n.id = e.src LEFT JOIN O o ON o.id = e.src
+ WHERE (e.kind IN ('CALLS','INVOKES','MAY_INVOKE','CONTEXT_CALLS','READS_CALLEE') OR sem IN ('CALLS','INVOKES','MAY_INVOKE','CONTEXT_CALLS','READS_CALLEE')) AND e.dst IS NOT NULL)"""
+_HUBS = f"""{_RNE}, {_OWNED}, {_UNION_PAIRS}, X AS (SELECT callee AS id, 1 AS i, 0 AS o FROM UP UNION ALL SELECT caller, 0, 1 FROM UP), FN AS (SELECT id, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM X GROUP BY id),
+ FP AS (SELECT file FROM N WHERE kind = 'file' AND json_extract_string(props, '$.provenance') <> 'application'),
+ H AS (SELECT n.id, label, file, fan_in, fan_out, fan_in + fan_out AS degree,
+ concat_ws(',', CASE WHEN n.id IN (SELECT dst FROM E WHERE kind = 'EXPORTS' OR sem = 'EXPORTS') THEN 'exported' END,
+ CASE WHEN n.id IN (SELECT dst FROM E WHERE kind IN ('INVOKES','MAY_INVOKE','CONTEXT_CALLS','READS_CALLEE') OR sem IN ('INVOKES','MAY_INVOKE','CONTEXT_CALLS','READS_CALLEE')) THEN 'dispatch_target' END,
+ CASE WHEN n.id IN (SELECT dst FROM E WHERE kind IN ('REGISTERS_CALLBACK','HANDLED_BY','SCHEDULES') OR sem IN ('REGISTERS_CALLBACK','HANDLED_BY','SCHEDULES')) THEN 'callback' END) AS flags
+ FROM FN JOIN N n ON n.id = FN.id WHERE kind IN ('function','method','constructor') AND coalesce(json_extract_string(props, '$.declaration_only'), 'false') <> 'true'
+ AND NOT coalesce(regexp_matches(file, '(?i)\\.(test|spec)\\.|\\.integration\\.|\\.e2e\\.|(^|/)__tests__/|(^|/)tests?/|_test\\.|(^|/)selftests/|(^|/)tools/testing/|(^|/)test_[^/]*\\.py$|(^|/)conftest\\.py$'), false)
+ AND NOT coalesce(list_has_any(string_split(lower(file), '/'), ['node_modules','vendor','vendors','third_party','third-party']), false) AND (file IS NULL OR file NOT IN (SELECT file FROM FP WHERE file IS NOT NULL)))"""
+
+
+@query(f"{_HUBS} SELECT * FROM H")
 def hubs(spark: SparkSession, d: str) -> DataFrame:
     return navigate.hubs(graph.load(spark, d))
 
 
-@query(f"""{_NE}, {_PAIRS}, X AS (SELECT callee AS id, 1 AS i, 0 AS o FROM P UNION ALL SELECT caller, 0, 1 FROM P)
- SELECT x.id, any_value(label) AS label, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out, (sum(i) + sum(o))::BIGINT AS degree FROM X x JOIN N ON N.id = x.id GROUP BY x.id ORDER BY degree DESC, fan_in DESC, lower(any_value(label)), x.id LIMIT 20""")
+@query(f"{_HUBS} SELECT * FROM H ORDER BY degree DESC, fan_in DESC, lower(label), id LIMIT 20")
 def hubs_top(spark: SparkSession, d: str) -> DataFrame:
     return navigate.top_hubs(graph.load(spark, d), 20)
 
 
-@query(f"""WITH {_N}, C AS (SELECT *, json_extract_string(props, '$.control_kind') AS c FROM N WHERE owner_function_id IS NOT NULL) SELECT owner_function_id AS owner_id, count(*) FILTER (WHERE c IN ('if','while','switch')) AS conditions,
- count(*) FILTER (WHERE kind = 'call') AS calls, count(*) FILTER (WHERE c = 'for') AS loops, count(*) FILTER (WHERE kind = 'read') AS reads FROM C GROUP BY 1""")
+_GUARDS = f"""{_RNE}, {_OWNED}, GE AS (SELECT e.kind, sem, coalesce(a.callable_id, b.callable_id) AS owner_id FROM E e LEFT JOIN O a ON a.id = e.src LEFT JOIN O b ON b.id = e.dst),
+ GC AS (SELECT owner_id, count(*) FILTER (WHERE kind = 'CONDITION' OR sem = 'CONDITION') AS conditions, count(*) FILTER (WHERE kind IN ('SHORT_CIRCUIT_LEFT','SHORT_CIRCUIT_RIGHT') OR sem IN ('SHORT_CIRCUIT_LEFT','SHORT_CIRCUIT_RIGHT')) AS short_circuits,
+ count(*) FILTER (WHERE kind = 'THROWS_VALUE' OR sem = 'THROWS_VALUE') AS throws, count(*) FILTER (WHERE kind = 'EXCEPTION_BRANCH' OR sem = 'EXCEPTION_BRANCH') AS exception_branches, count(*) FILTER (WHERE kind IN ('TRY_BODY','HANDLED_BY') OR sem IN ('TRY_BODY','HANDLED_BY')) AS handles
+ FROM GE WHERE owner_id IS NOT NULL GROUP BY 1),
+ GW AS (SELECT e.src AS owner_id, max(CASE WHEN regexp_matches(n.label, '(?i)verif|hmac|\\bsign|signature|digest|sanit|escape|\\bhash\\b') THEN 1.0 WHEN regexp_matches(n.label, '(?i)valid|auth|token|assert|allow|deny|permit|forbid|trust|scope|origin|redirect|secret|cred|\\bcheck|guard|authoriz|permission|owner\\b|tenant') THEN 0.6 ELSE 0.0 END)::DOUBLE AS w
+ FROM E e JOIN N n ON n.id = e.dst WHERE e.kind IN ('CALLS','INVOKES','MAY_INVOKE') OR sem IN ('CALLS','INVOKES','MAY_INVOKE') GROUP BY 1),
+ GS AS (SELECT coalesce(owner_function_id, function_id) AS owner_id, count(*) AS owned FROM N GROUP BY 1),
+ G AS (SELECT c.*, coalesce(w, 0.0)::DOUBLE AS security_weight, round(least(1.0, 0.15 * conditions + 0.2 * short_circuits + 0.3 * throws + 0.1 * exception_branches)::DOUBLE * (0.5 + 0.5 * coalesce(w, 0.0))::DOUBLE, 3) AS score,
+ CASE WHEN throws > 0 AND conditions + short_circuits > 0 THEN 'guard' WHEN conditions + short_circuits > 0 THEN 'validate' ELSE 'passthrough' END AS class, coalesce(owned, 0)::BIGINT AS owned
+ FROM GC c LEFT JOIN GW ON GW.owner_id = c.owner_id LEFT JOIN GS ON GS.owner_id = c.owner_id WHERE conditions + short_circuits + throws + exception_branches + handles > 0)"""
+
+
+@query(f"{_GUARDS} SELECT * FROM G")
 def guard_profile(spark: SparkSession, d: str) -> DataFrame:
     return navigate.guard_profile(graph.load(spark, d))
 
 
+@query(f"{_GUARDS} SELECT * FROM G ORDER BY score DESC, owner_id LIMIT 20")
+def guards_top(spark: SparkSession, d: str) -> DataFrame:
+    return navigate.guard_profile(graph.load(spark, d)).orderBy(F.desc("score"), "owner_id").limit(20)
+
+
 @query(f"WITH {_E} SELECT unit, sem AS semantic, count(*) AS n, count(DISTINCT src) AS n_src FROM E GROUP BY 1, 2")
 def unit_rollup(spark: SparkSession, d: str) -> DataFrame:
     return navigate.unit_rollup(graph.load(spark, d))
@@ -193,9 +227,23 @@ def call_rollup(spark: SparkSession, d: str) -> DataFrame:
     return navigate.call_rollup(graph.load(spark, d))
 
 
-@query(f"WITH {_N} SELECT unit, (2 * count(*) FILTER (WHERE kind = 'guard') + count(*) FILTER (WHERE kind = 'diagnostic') + count(*) FILTER (WHERE kind = 'call' AND confidence = 'unresolved'))::BIGINT AS score FROM N WHERE unit IS NOT NULL GROUP BY unit")
-def unit_scores(spark: SparkSession, d: str) -> DataFrame:
-    return navigate.unit_scores(graph.load(spark, d))
+_COMPONENTS = f"""WITH {_N}, FB AS (SELECT absolute_file, max(id) AS f FROM N WHERE kind = 'file' AND absolute_file IS NOT NULL GROUP BY 1),
+ FL AS (SELECT file, max(id) AS f FROM (SELECT label AS file, id FROM N WHERE kind = 'file' UNION ALL SELECT file, id FROM N WHERE kind = 'file') WHERE file IS NOT NULL GROUP BY 1),
+ RW AS (SELECT id, sum(CASE role WHEN 'Source' THEN 1 WHEN 'Boundary' THEN 1 WHEN 'Sink' THEN 2 WHEN 'EntryPoint' THEN 3 ELSE 0 END) AS w FROM (SELECT id, unnest(from_json((props->'$.roles'), '["JSON"]'))->>'$.role' AS role FROM N WHERE (props->'$.roles') IS NOT NULL) GROUP BY 1),
+ U AS (SELECT n.id, CASE WHEN kind = 'file' THEN n.id ELSE coalesce(FB.f, FL.f) END AS file_id, (kind IN ('diagnostic','boundary','dynamic-behavior') OR coalesce(json_extract_string(props, '$.resolution') IN ('unresolved','dynamic-or-unresolved','external'), false) OR coalesce(confidence = 'unresolved', false))::INT AS u
+ FROM N n LEFT JOIN FB ON FB.absolute_file = n.absolute_file LEFT JOIN FL ON FL.file = n.file),
+ C AS (SELECT file_id AS id, count(*) AS nodes, sum(u)::BIGINT AS unresolved, (sum(u) + sum(coalesce(w, 0)))::BIGINT AS score FROM U LEFT JOIN RW ON RW.id = U.id WHERE file_id IS NOT NULL GROUP BY 1)
+ SELECT C.id, N.label, nodes, unresolved, score FROM C JOIN N ON N.id = C.id"""
+
+
+@query(_COMPONENTS)
+def component_scores(spark: SparkSession, d: str) -> DataFrame:
+    return navigate.component_scores(graph.load(spark, d))
+
+
+@query(f"{_COMPONENTS} ORDER BY score DESC, label, C.id LIMIT 25")
+def top_components(spark: SparkSession, d: str) -> DataFrame:
+    return navigate.top_components(graph.load(spark, d))
 
 
 @query(f"WITH {_N} SELECT kind, count(*) AS n, round(1.0::DOUBLE / count(*), 9) AS rarity FROM N GROUP BY kind")
@@ -347,7 +395,7 @@ def pointer_cones(spark: SparkSession, d: str) -> DataFrame:
     return traverse.context_reach(seeds, traverse.flow_links(g.semantic("VALUE_FLOWS_TO")))
 
 
-@query(f"""{_RNE}, I AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE kind = 'VALUE_FLOWS_TO' AND reason IN ({_kinds(schema.IDENTITY_REASONS)}) AND src IS NOT NULL AND dst IS NOT NULL),
+@query(f"""{_RNE}, I AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE kind = 'VALUE_FLOWS_TO' AND reason IN ('allocation','initializer','assignment','write','read','read-value','argument-value','context-argument','context-call-result','return','call-result','branch-reaching-definition','phi-input','call-argument','value-preserving-expression') AND src IS NOT NULL AND dst IS NOT NULL),
  Q(value, heap_object) AS (SELECT src, dst FROM E WHERE kind = 'POINTS_TO' AND src IS NOT NULL AND dst IS NOT NULL UNION SELECT i.b, q.heap_object FROM Q q JOIN I i ON i.a = q.value) SELECT DISTINCT value, heap_object FROM Q""")
 def points_to(spark: SparkSession, d: str) -> DataFrame:
     """Inclusion-based points-to over the edges that keep a value's identity."""

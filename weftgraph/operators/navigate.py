@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema
 from weftgraph.graph import Graph, degrees
+from weftgraph.plans.durable import durable
 from weftgraph.plans.ranges import lead_in_ranges
 
 
@@ -24,8 +25,12 @@ def targets(g: Graph, *kinds: str) -> DataFrame:
     return e.join(g.nodes.select(F.col("id").alias("dst"), "kind", "label"), "dst").select("src", "dst", "kind", "label")
 
 
+# A fixed value: what makes a path one of tests.
+TEST_PATH = r"(?i)\.(test|spec)\.|\.integration\.|\.e2e\.|(^|/)__tests__/|(^|/)tests?/|_test\.|(^|/)selftests/|(^|/)tools/testing/|(^|/)test_[^/]*\.py$|(^|/)conftest\.py$"
+
+
 def is_test_path(path: Column) -> Column:
-    return F.coalesce(F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec|fixtures)(/|$)|(^|/)test_[^/]*$|[._-](test|spec)\.[a-z]+$"), F.lit(False))
+    return F.coalesce(path.rlike(TEST_PATH), F.lit(False))
 
 
 def is_external_path(path: Column) -> Column:
@@ -44,28 +49,130 @@ def call_pairs(g: Graph) -> DataFrame:
     return e.select(F.col("src").alias("caller"), F.col("dst").alias("callee")).distinct()
 
 
-def hubs(g: Graph) -> DataFrame:
-    """(id, label, fan_in, fan_out, degree) over distinct call pairs, for nodes that exist."""
-    p = call_pairs(g)
+def owner_callables(g: Graph) -> DataFrame:
+    """(id, callable_id): the function, method or constructor that a node stands in, itself if it is one; nodes without one are left out.
+
+    Owners are climbed by pointer doubling, so the rounds grow with the logarithm of the nesting; a
+    chain of owners that closes on itself has no callable. Where owners lead nowhere the scopes
+    above are climbed, at most 32 of them.
+    """
+    n = durable(g.nodes.select("id", F.col("kind").isin(*schema.CALLABLE_KINDS).alias("done"), owner(g.nodes).alias("own"), F.get_json_object("props", "$.scope_id").alias("scope")), "owners")
+    found = _climb(n.select("id", "done", F.col("own").alias("up")), 31)
+    left = n.filter("scope is not null and not done").join(found.select("id"), "id", "left_anti")
+    if not left.isEmpty():
+        chain = _climb(n.select("id", "done", F.col("scope").alias("up")), 5)  # two to the fifth scopes
+        found = found.unionByName(left.select("id").join(chain, "id"))
+    return found
+
+
+def _climb(n: DataFrame, rounds: int) -> DataFrame:
+    """(id, callable_id) by pointer doubling over (id, done, up), two to the power of ``rounds`` steps at most."""
+    at = n.select("id", "done", F.when(F.col("done"), F.col("id")).otherwise(F.col("up")).alias("at")).filter("at is not null")
+    pending = at.filter("not done").select("id", "at")
+    out = at.filter("done").select("id", F.col("at").alias("callable_id"))
+    ends = n.filter("done").select(F.col("id").alias("at"))
+    for _ in range(rounds):
+        here = pending.join(ends, "at", "left_semi")
+        out = out.unionByName(here.select("id", F.col("at").alias("callable_id")))
+        rest = durable(pending.join(ends, "at", "left_anti").select("id", "at"), "climb")
+        if rest.isEmpty():
+            break
+        nxt = rest.select(F.col("id").alias("at"), F.col("at").alias("to"))
+        jumped = durable(rest.join(nxt, "at").select("id", F.col("to").alias("at")).filter("id <> at"), "climb")
+        # those whose next one has arrived already go to its end
+        arrived = rest.join(out.select(F.col("id").alias("at"), "callable_id"), "at").select("id", "callable_id")
+        out = durable(out.unionByName(arrived.join(ends.withColumnRenamed("at", "id"), "id", "left_anti")).dropDuplicates(["id"]), "climbed")
+        pending = jumped.join(out.select("id"), "id", "left_anti")
+    return out.dropDuplicates(["id"])
+
+
+def caller_decls(g: Graph) -> DataFrame:
+    """(id, decl): what a node's calls are laid to: a call context's caller, else the callable it stands in, else the node itself."""
+    own = owner_callables(g).withColumnRenamed("callable_id", "own")
+    named = F.when(F.col("kind") == "call-context", F.get_json_object("props", "$.caller_function_id"))
+    j = g.nodes.select("id", named.alias("named")).join(own, "id", "left")
+    known = g.nodes.select(F.col("id").alias("named"), F.lit(True).alias("known"))
+    return j.join(known, "named", "left").select("id", F.coalesce(F.when(F.col("known"), F.col("named")), "own", "id").alias("decl"))
+
+
+def union_call_pairs(g: Graph, resolved_only: bool = False) -> DataFrame:
+    """Distinct (caller, callee) over direct and indirect calls, callers lifted to their declarations; ``resolved_only`` keeps direct calls that are exact, high or unstamped."""
+    e = g.semantic(*schema.DIRECT_CALLS) if resolved_only else g.semantic(*schema.DIRECT_CALLS, *schema.INDIRECT_CALLS)
+    if resolved_only:
+        e = e.filter("confidence is null or lower(trim(confidence)) in ('exact', 'high')")
+    e = e.filter("src is not null and dst is not null").select(F.col("src").alias("id"), F.col("dst").alias("callee")).distinct()
+    return e.join(caller_decls(g), "id").select(F.col("decl").alias("caller"), "callee").distinct()
+
+
+def file_provenance(g: Graph) -> DataFrame:
+    """(file, foreign): files of the graph and whether they say they are not the application's."""
+    said = F.get_json_object("props", "$.provenance")
+    return g.nodes.filter("kind = 'file' and file is not null").groupBy("file").agg(F.coalesce(F.max(said != "application"), F.lit(False)).alias("foreign"))
+
+
+def hubs(g: Graph, include_external: bool = False, include_tests: bool = False, resolved_only: bool = False) -> DataFrame:
+    """(id, label, file, fan_in, fan_out, degree, flags) of callables with a body that calls touch, over distinct declaration pairs.
+
+    Flags tell what is exported, reached by dispatch, or registered as a callback. Files of tests and
+    foreign ones are left out unless asked for.
+    """
+    p = durable(union_call_pairs(g, resolved_only), "pairs")
     ends = p.select(F.explode(F.array(F.struct(F.col("callee").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("caller").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x"))
     fans = ends.select("x.*").groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
-    return fans.join(g.nodes.select("id", "label"), "id").select("id", "label", "fan_in", "fan_out", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
+    own = g.nodes.filter(F.col("kind").isin(*schema.CALLABLE_KINDS)).filter(F.coalesce(F.get_json_object("props", "$.declaration_only") != "true", F.lit(True))).select("id", "label", "file")
+    if not include_tests:
+        own = own.filter(~is_test_path(F.col("file")))
+    if not include_external:
+        own = own.filter(~is_external_path(F.col("file"))).join(file_provenance(g).filter("foreign").select("file"), "file", "left_anti")
+    marks = None
+    for flag, kinds in (("exported", ("EXPORTS",)), ("dispatch_target", tuple(schema.INDIRECT_CALLS)), ("callback", schema.CALLBACK_EDGES)):
+        m = g.semantic(*kinds).filter("dst is not null").select(F.col("dst").alias("id"), F.lit(flag).alias("flag")).distinct()
+        marks = m if marks is None else marks.unionByName(m)
+    order = F.array(F.lit("exported"), F.lit("dispatch_target"), F.lit("callback"))
+    flags = marks.groupBy("id").agg(F.array_join(F.array_intersect(order, F.collect_set("flag")), ",").alias("flags"))
+    return fans.join(own, "id").join(flags, "id", "left").select("id", "label", "file", "fan_in", "fan_out", (F.col("fan_in") + F.col("fan_out")).alias("degree"), F.coalesce("flags", F.lit("")).alias("flags"))
 
 
 def top_hubs(g: Graph, n: int) -> DataFrame:
     return hubs(g).orderBy(F.desc("degree"), F.desc("fan_in"), F.lower("label"), "id").limit(n)
 
 
+# Names that look like security, by weight; edges that guard, by what they do.
+SECURITY_HIGH = r"(?i)verif|hmac|\bsign|signature|digest|sanit|escape|\bhash\b"
+SECURITY_MEDIUM = r"(?i)valid|auth|token|assert|allow|deny|permit|forbid|trust|scope|origin|redirect|secret|cred|\bcheck|guard|authoriz|permission|owner\b|tenant"
+GUARD_EDGES = {
+    "conditions": ("CONDITION",),
+    "short_circuits": ("SHORT_CIRCUIT_LEFT", "SHORT_CIRCUIT_RIGHT"),
+    "throws": ("THROWS_VALUE",),
+    "exception_branches": ("EXCEPTION_BRANCH",),
+    "handles": ("TRY_BODY", "HANDLED_BY"),
+}
+
+
+def security_weight(name: Column) -> Column:
+    return F.when(name.rlike(SECURITY_HIGH), 1.0).when(name.rlike(SECURITY_MEDIUM), 0.6).otherwise(0.0)
+
+
 def guard_profile(g: Graph) -> DataFrame:
-    """(owner_id, conditions, calls, guards, reads) per owning function."""
-    n = g.nodes.filter(F.col("owner_function_id").isNotNull())
-    control = F.get_json_object("props", "$.control_kind")
-    return n.groupBy(F.col("owner_function_id").alias("owner_id")).agg(
-        F.count_if(control.isin("if", "while", "switch")).alias("conditions"),
-        F.count_if(F.col("kind") == "call").alias("calls"),
-        F.count_if(control == "for").alias("loops"),
-        F.count_if(F.col("kind") == "read").alias("reads"),
-    )
+    """(owner_id, conditions, short_circuits, throws, exception_branches, handles, security_weight, score, class, owned) of callables with a guarding edge.
+
+    An edge is laid to the callable of its source, else of its target.
+    """
+    own = durable(owner_callables(g), "owned")
+    kinds = [k for ks in GUARD_EDGES.values() for k in ks]
+    e = g.semantic(*kinds).select("row_id", "src", "dst", schema.semantic_kind().alias("sem"), "kind")
+    j = e.join(own.select(F.col("id").alias("src"), F.col("callable_id").alias("a")), "src", "left").join(own.select(F.col("id").alias("dst"), F.col("callable_id").alias("b")), "dst", "left")
+    is_ = lambda ks: F.col("kind").isin(*ks) | F.col("sem").isin(*ks)
+    per = j.withColumn("owner_id", F.coalesce("a", "b")).filter("owner_id is not null").groupBy("owner_id").agg(*[F.count_if(is_(ks)).alias(name) for name, ks in GUARD_EDGES.items()])
+    called = g.semantic("CALLS", "INVOKES", "MAY_INVOKE").filter("src is not null").select(F.col("src").alias("owner_id"), F.col("dst").alias("id")).distinct()
+    weight = called.join(per.select("owner_id"), "owner_id", "left_semi").join(g.nodes.select("id", security_weight(F.coalesce("label", F.lit(""))).alias("w")), "id").groupBy("owner_id").agg(F.max("w").alias("security_weight"))
+    size = g.nodes.select(owner(g.nodes).alias("owner_id")).groupBy("owner_id").agg(F.count(F.lit(1)).alias("owned"))
+    j = per.join(weight, "owner_id", "left").join(size, "owner_id", "left")
+    sec = F.coalesce("security_weight", F.lit(0.0))
+    events = 0.15 * F.col("conditions") + 0.2 * F.col("short_circuits") + 0.3 * F.col("throws") + 0.1 * F.col("exception_branches")
+    branching = (F.col("conditions") > 0) | (F.col("short_circuits") > 0)
+    shape = F.when((F.col("throws") > 0) & branching, "guard").when(branching, "validate").otherwise("passthrough")
+    return j.select("owner_id", *GUARD_EDGES, sec.alias("security_weight"), F.round(F.least(F.lit(1.0), events) * (0.5 + 0.5 * sec), 3).alias("score"), shape.alias("class"), F.coalesce("owned", F.lit(0)).cast("long").alias("owned"))
 
 
 def unit_rollup(g: Graph) -> DataFrame:
@@ -81,10 +188,46 @@ def call_rollup(g: Graph) -> DataFrame:
     return j.filter("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.count(F.lit(1)).alias("weight"), F.min("caller").alias("witness"))
 
 
-def unit_scores(g: Graph) -> DataFrame:
-    """(unit, score): sinks weigh two, entry points three, diagnostics and unresolved calls one."""
-    n = g.nodes.groupBy("unit").agg((2 * F.count_if(F.col("kind") == "guard") + F.count_if(F.col("kind") == "diagnostic") + F.count_if((F.col("kind") == "call") & (F.col("confidence") == "unresolved"))).alias("score"))
-    return n.filter(F.col("unit").isNotNull())
+def roles_of(nodes: DataFrame) -> DataFrame:
+    """(id, role): the roles that nodes carry in their properties."""
+    kind = "array<struct<role:string>>"
+    return nodes.filter("props is not null").select("id", F.explode(F.from_json(F.get_json_object("props", "$.roles"), kind)).alias("r")).select("id", F.col("r.role").alias("role")).filter("role is not null")
+
+
+def unresolved_reason(nodes: DataFrame) -> Column:
+    """Why a node is not resolved, the first reason that holds; null if it is."""
+    p = lambda k: F.get_json_object("props", f"$.{k}")
+    left = p("resolution").isin("unresolved", "dynamic-or-unresolved", "external")
+    return (
+        F.when(F.col("kind") == "diagnostic", "compiler-diagnostic")
+        .when(F.col("kind") == "boundary", F.coalesce(p("boundary_kind"), F.lit("runtime-boundary")))
+        .when(F.col("kind") == "dynamic-behavior", F.coalesce(p("behavior_kind"), F.lit("dynamic-runtime")))
+        .when(left, F.when(F.col("kind").isin(*schema.CALLSITE_KINDS), "unresolved-call").otherwise(p("resolution")))
+        .when(F.col("confidence") == "unresolved", "unresolved-fact")
+    )
+
+
+def file_of(g: Graph) -> DataFrame:
+    """(id, file_id): the file node that a node belongs to, by absolute path, else by path or label."""
+    f = g.nodes.filter("kind = 'file'")
+    by_absolute = f.filter("absolute_file is not null").groupBy("absolute_file").agg(F.max("id").alias("by_absolute"))
+    names = f.select(F.col("label").alias("file"), "id").unionByName(f.select("file", "id")).filter("file is not null")
+    by_name = names.groupBy("file").agg(F.max("id").alias("by_name"))
+    j = g.nodes.select("id", "kind", "absolute_file", "file").join(by_absolute, "absolute_file", "left").join(by_name, "file", "left")
+    return j.select("id", F.when(F.col("kind") == "file", F.col("id")).otherwise(F.coalesce("by_absolute", "by_name")).alias("file_id")).filter("file_id is not null")
+
+
+def component_scores(g: Graph) -> DataFrame:
+    """(id, label, nodes, unresolved, score) per file: sources and boundaries weigh one, sinks two, entry points three, unresolved nodes one."""
+    worth = F.when(F.col("role").isin("Source", "Boundary"), 1).when(F.col("role") == "Sink", 2).when(F.col("role") == "EntryPoint", 3).otherwise(0)
+    role = roles_of(g.nodes).select("id", worth.alias("w")).groupBy("id").agg(F.sum("w").alias("w"))
+    open_ = g.nodes.select("id", unresolved_reason(g.nodes).isNotNull().cast("int").alias("u"))
+    per = file_of(g).join(open_, "id").join(role, "id", "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum("u").alias("unresolved"), (F.sum("u") + F.sum(F.coalesce("w", F.lit(0)))).alias("score"))
+    return per.join(g.nodes.select(F.col("id").alias("file_id"), "label"), "file_id").select(F.col("file_id").alias("id"), "label", "nodes", "unresolved", "score")
+
+
+def top_components(g: Graph, n: int = 25) -> DataFrame:
+    return component_scores(g).orderBy(F.desc("score"), "label", "id").limit(n)
 
 
 def rarity(nodes: DataFrame) -> DataFrame:

@@ -50,10 +50,47 @@ EDGE_KINDS: dict[str, tuple[str, ...]] = {
 # Confidences by falling strength, and levels of capabilities by rising strength.
 CONFIDENCE_RANK = ("exact", "high", "medium", "conservative", "low", "unresolved")
 CAPABILITY_LEVELS = ("none", "partial", "complete")
-# Kinds whose edges carry values.
 CALLABLE_KINDS = ("function", "method", "constructor")
-FLOW_EDGE_KINDS = ("VALUE_FLOWS_TO", "READS_FROM", "WRITES_TO", "POINTS_TO", "HAS_ARGUMENT")
-IDENTITY_REASONS = ("allocation", "initializer", "assignment", "read-value", "argument-value", "context-argument", "context-parameter", "context-return")
+# Kinds of edges along which values flow, and reasons of a flow that keep a value's identity.
+FLOW_EDGE_KINDS = tuple(
+    """DEFINES VALUE_FLOWS_TO READS_FROM PROPERTY_READ ALIASES ALIASES_VALUE PHI_INPUT BRANCH_READS_FROM BRANCH_PREVIOUS POINTS_TO WRITES_HEAP
+    READS_HEAP DYNAMIC_INPUT REACHING_DEF""".split()
+)
+IDENTITY_REASONS = tuple(
+    """allocation initializer assignment write read read-value argument-value context-argument context-call-result return call-result
+    branch-reaching-definition phi-input call-argument value-preserving-expression""".split()
+)
+# Edges of direct and of indirect calls, of callbacks, and kinds of call sites.
+DIRECT_CALLS = ("CALLS",)
+INDIRECT_CALLS = {"INVOKES": "invokes", "MAY_INVOKE": "may_invoke", "CONTEXT_CALLS": "context", "READS_CALLEE": "fn-pointer"}
+CALLBACK_EDGES = ("REGISTERS_CALLBACK", "HANDLED_BY", "SCHEDULES")
+CALLSITE_KINDS = ("call", "construct")
+# The layer of each kind of node; a symbol stands in T3 where its scope lies in a function, else in T1.
+TIERS: dict[str, tuple[str, ...]] = {
+    "T0": tuple("project package module file external-module import-cycle".split()),
+    "T1": tuple(
+        """function method constructor class interface type enum record type-reference dispatch-member wiring-boundary dynamic-behavior singleton
+        module-state module-initializer static-initializer effect-summary function-effect runtime-model-application route boundary decorator""".split()
+    ),
+    "T2": tuple("source sink taint-reach".split()),
+    "T3": tuple(
+        """statement expression identifier operation call construct argument return-value call-return cfg-node cfg-entry cfg-exit cfg-condition
+        cfg-merge cfg-block unreachable-region phi exception-site catch-handler finally-block promise-rejection type-refinement
+        dispatch-candidate scope""".split()
+    ),
+    "T4": tuple(
+        """definition read write parameter property heap-object heap-location heap-access heap-effect context-heap-effect call-context
+        context-return context-parameter context-receiver context-dispatch applied-effect type-parameter generic-substitution overload
+        type-compatibility async-event runtime-symbol receiver-type unresolved-symbol dynamic-type-reference token source-line data-context
+        source-span value variable binding call-value property-path allocation diagnostic constant literal""".split()
+    ),
+}
+# Kinds whose nodes stay when bodies are left out.
+SPINE_KINDS = tuple(
+    """file module package namespace function method class interface record enum struct definition declaration variable parameter field
+    property symbol binding import export type typedef call route sink external-module scope module-initializer constructor type-parameter
+    macro decorator static-initializer""".split()
+)
 
 
 def semantic_kind() -> Column:
@@ -68,13 +105,17 @@ def family(kind: Column, families: dict[str, tuple[str, ...]]) -> Column:
     return out
 
 
-def tier(kind: Column) -> Column:
-    """The layer of a node kind; unknown kinds stand in the last one."""
-    out = F.when(kind.isin("argument", "call-value", "return", "return-value"), "T2")
-    out = out.when(kind.isin(*NODE_KINDS["project-structure"]), "T0")
-    out = out.when(kind.isin(*"declaration function method constructor class interface type enum record macro".split()), "T1")
-    out = out.when(kind.isin(*NODE_KINDS["declaration"], *NODE_KINDS["value"]), "T2")
-    return out.when(kind.isin(*NODE_KINDS["executable"], *NODE_KINDS["control-runtime"]), "T3").otherwise("T4")
+def tier(kind: Column, local: Column | None = None) -> Column:
+    """The layer of a node kind; ``local`` tells whether a symbol's scope lies in a function. Unknown kinds stand in the last layer."""
+    out = F.when(kind == "symbol", F.when(F.coalesce(local, F.lit(False)), "T3").otherwise("T1") if local is not None else F.lit("T1"))
+    for name, kinds in TIERS.items():
+        out = out.when(kind.isin(*kinds), name)
+    return out.otherwise("T4")
+
+
+def partition_of(kind: Column, frontend_id: Column) -> Column:
+    """SEMANTIC without a frontend, else SPINE or BODY by kind."""
+    return F.when(F.coalesce(frontend_id, F.lit("")) == "", "SEMANTIC").when(kind.isin(*SPINE_KINDS), "SPINE").otherwise("BODY")
 
 
 def confidence_rank(confidence: Column) -> Column:
