@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -49,6 +50,13 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """As :func:`durable`, with the number of rows, told by the write itself."""
+    seen = Observation()
+    kept = durable(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return kept, seen.get["n"]
+
+
 def drop_durable(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,8 +1,10 @@
 """Semi-naive fixpoints over DataFrames.
 
 Each round derives candidates from the rows found in the round before, drops those already known
-and writes the rest, so the plan never grows and a lost executor costs one round. A bound on the
-rounds is part of a query's meaning (depth); a budget stops and says so, it never filters.
+and writes the rest, so a lost executor costs one round. The rounds are kept as tables that hold
+one, two, four, ... of them: two of a size become one, as in a binary counter, so a round reads a
+logarithmic number of tables and a row is rewritten that often at most. A bound on the rounds is
+part of a query's meaning (depth); a budget stops and says so, it never filters.
 """
 
 from __future__ import annotations
@@ -12,10 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import drop_durable, durable, durable_counted
 
-#: Rounds after which the rows found so far are written as one table, so that long walks do not read a table per round.
-COMPACT = 16
+
+def _all(tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    out = tables[0][1]
+    for _, t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], rounds: int | None = None, budget: int | None = None, falling: str | None = None) -> tuple[DataFrame, bool]:
@@ -32,21 +38,25 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[
             return df.select(*key).distinct()
         return df.groupBy(*key).agg(F.min(F.struct(*others)).alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in others])
 
-    found = durable(least(seed).withColumn("round", F.lit(0)), "round")
-    every, count, n = found, found.count(), 0
-    while not found.isEmpty() and (rounds is None or n < rounds):
+    found, new = durable_counted(least(seed).withColumn("round", F.lit(0)), "round")
+    tables, count, n = [(1, found)], new, 0
+    while new and (rounds is None or n < rounds):
         if budget is not None and count > budget:
-            return every, True
+            return _all(tables), True
         n += 1
         candidates = least(step(found.drop("round")).select(*seed.columns))
-        known = every.select(*[F.col(k).alias(f"known_{k}") for k in [*key, *([falling] if falling else [])]])
+        known = _all(tables).select(*[F.col(k).alias(f"known_{k}") for k in [*key, *([falling] if falling else [])]])
         same = F.col(falling) >= F.col(f"known_{falling}") if falling else None
         for k in key:
             c = F.col(k).eqNullSafe(F.col(f"known_{k}"))
             same = c if same is None else same & c
-        found = durable(candidates.join(known, same, "left_anti").withColumn("round", F.lit(n)), "round")
-        count += found.count() if budget is not None else 0
-        every = every.unionByName(found)
-        if n % COMPACT == 0:
-            every = durable(every, "rounds")
-    return every, False
+        found, new = durable_counted(candidates.join(known, same, "left_anti").withColumn("round", F.lit(n)), "round")
+        count += new
+        if new:
+            tables.append((1, found))
+        while len(tables) > 2 and tables[-2][0] == tables[-3][0]:  # the last table is still the next round's input
+            (a, x), (b, y) = tables[-3], tables[-2]
+            tables[-3:-1] = [(a + b, durable(x.unionByName(y), "rounds"))]
+            drop_durable(x)
+            drop_durable(y)
+    return _all(tables), False
