@@ -10,7 +10,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
-NAMES = "p1_found p1_cycles p3_found p3_report p7_counts hubs violations compose_edges resolve_calls flow_cones call_closure control_links guard_differential ranked_entries function_summaries misuses token_idf nearest_vectors".split()
+NAMES = "p1_found p1_cycles p3_found p3_report p7_counts hubs violations compose_edges resolve_calls flow_cones resolve_ladder call_relations security_roles call_closure control_links guard_differential ranked_entries function_summaries misuses token_idf nearest_vectors".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 
 

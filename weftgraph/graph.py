@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.plans.durable import durable
 from weftgraph.sources.tables import table
 
 NODE_COLUMNS = ("kind", "file", "absolute_file", "start_line", "end_line", "start_offset", "end_offset", "owner_function_id", "function_id", "type", "package_name", "unit", "language", "fact_origin", "props")
@@ -57,6 +58,11 @@ def load(spark: SparkSession, d: str) -> Graph:
     return Graph(compose_nodes(table(spark, d, "nodes"), table(spark, d, "builtin_nodes")), compose_edges(table(spark, d, "edges")))
 
 
+def kept(g: Graph) -> Graph:
+    """The graph as written tables, for walks and rules that read it many times."""
+    return Graph(durable(g.nodes, "nodes"), durable(g.edges, "edges"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(kind, side, n): edge ends that no node has, per kind; null ends count as dangling."""
     ends = edges.select("kind", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("src", "dst")])).alias("e")).select("kind", "e.*")

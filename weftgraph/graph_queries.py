@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import graph, schema
-from weftgraph.operators import lifetime, navigate, traverse
+from weftgraph.operators import lifetime, navigate, reach, traverse
 from weftgraph.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,26 +373,56 @@ def paths_avoiding_guards(spark: SparkSession, d: str) -> DataFrame:
     return traverse.closure(navigate.entry_points(g), _calls(g), depth=6, avoid=avoid)
 
 
-_FLOW = """L AS (SELECT DISTINCT src AS a, dst AS b, CASE WHEN reason = '{push}' THEN context_id END AS push, CASE WHEN reason = '{pop}' THEN context_id END AS pop FROM E
- WHERE (kind IN ({kinds}) OR sem IN ({kinds})) AND src IS NOT NULL AND dst IS NOT NULL AND (coalesce(reason, '') NOT IN ('context-parameter','context-return') OR context_id IS NOT NULL))"""
-_WALK = """W(seed, node, stack, distance) AS (SELECT id, id, []::VARCHAR[], 0::BIGINT FROM S UNION SELECT w.seed, l.b, CASE WHEN l.push IS NOT NULL THEN list_append(w.stack, l.push) WHEN l.pop IS NOT NULL THEN w.stack[1:len(w.stack) - 1] ELSE w.stack END, w.distance + 1
- FROM W w JOIN L l ON l.a = w.node WHERE w.distance < 8 AND CASE WHEN l.push IS NOT NULL THEN len(w.stack) < 12 WHEN l.pop IS NOT NULL THEN w.stack[-1] = l.pop ELSE true END)
- SELECT seed, node, min(distance) AS distance FROM W WHERE seed <> node GROUP BY 1, 2"""
+# The fourteen kinds of flow as the blueprint lists them, with the way back from every heap object.
+_FLOW_KINDS = "'DEFINES','VALUE_FLOWS_TO','READS_FROM','PROPERTY_READ','ALIASES','ALIASES_VALUE','PHI_INPUT','BRANCH_READS_FROM','BRANCH_PREVIOUS','POINTS_TO','WRITES_HEAP','READS_HEAP','DYNAMIC_INPUT','REACHING_DEF'"
+_FLOW = f"""FL AS (SELECT src AS a, dst AS b, reason, context_id FROM E WHERE sem IN ({_FLOW_KINDS}) AND src IS NOT NULL AND dst IS NOT NULL
+ UNION SELECT dst, src, 'alias-via-heap', NULL FROM E WHERE sem = 'POINTS_TO' AND src IS NOT NULL AND dst IS NOT NULL),
+ L AS (SELECT DISTINCT {{a}} AS a, {{b}} AS b, CASE WHEN reason = '{{push}}' THEN context_id END AS push, CASE WHEN reason = '{{pop}}' THEN context_id END AS pop FROM FL WHERE coalesce(reason, '') NOT IN ('context-parameter','context-return') OR context_id IS NOT NULL)"""
+_FORWARD = _FLOW.format(a="a", b="b", push="context-parameter", pop="context-return")
+_REVERSE = _FLOW.format(a="b", b="a", push="context-return", pop="context-parameter")
+_WALK = """W(seed, node, stack) AS (SELECT id, id, []::VARCHAR[] FROM S UNION SELECT w.seed, l.b, CASE WHEN l.push IS NOT NULL THEN list_append(w.stack, l.push) WHEN l.pop IS NOT NULL THEN w.stack[1:len(w.stack) - 1] ELSE w.stack END
+ FROM W w JOIN L l ON l.a = w.node WHERE CASE WHEN l.push IS NOT NULL THEN len(w.stack) < 12 WHEN l.pop IS NOT NULL THEN w.stack[-1] = l.pop ELSE true END)
+ SELECT DISTINCT seed, node FROM W WHERE seed <> node"""
 
 
-@query(f"{_RNE}, {_FLOW.format(push='context-parameter', pop='context-return', kinds=_kinds(schema.FLOW_EDGE_KINDS))}, S AS (SELECT id FROM N WHERE kind = 'read'), {_WALK}")
+@query(f"{_RNE}, {_FORWARD}, S AS (SELECT id FROM N WHERE kind = 'read'), {_WALK}")
 def flow_cones(spark: SparkSession, d: str) -> DataFrame:
-    """What the values of every read reach, calls matched with returns; the SQL stops after eight steps."""
-    g = graph.load(spark, d)
-    return traverse.context_reach(g.nodes.filter("kind = 'read'").select("id"), traverse.flow_links(g.semantic(*schema.FLOW_EDGE_KINDS)))
+    """What the values of every read reach, calls matched with returns."""
+    g = graph.kept(graph.load(spark, d))
+    return reach.cones(g, g.nodes.filter("kind = 'read'")).select("seed", "node")
 
 
-@query(f"{_RNE}, {_FLOW.format(push='context-parameter', pop='context-return', kinds=_kinds(schema.IDENTITY_REASONS[:0] + ('VALUE_FLOWS_TO',)))}, S AS (SELECT DISTINCT src AS id FROM E WHERE kind = 'POINTS_TO' AND src IS NOT NULL), {_WALK}")
-def pointer_cones(spark: SparkSession, d: str) -> DataFrame:
-    """Where the values that point to heap objects go; the SQL stops after eight steps."""
-    g = graph.load(spark, d)
-    seeds = g.edges.filter("kind = 'POINTS_TO' and src is not null").select(F.col("src").alias("id")).distinct()
-    return traverse.context_reach(seeds, traverse.flow_links(g.semantic("VALUE_FLOWS_TO")))
+@query(f"{_RNE}, {_REVERSE}, S AS (SELECT id FROM N WHERE kind = 'heap-object'), {_WALK}")
+def sources_of(spark: SparkSession, d: str) -> DataFrame:
+    """What can feed every heap object."""
+    g = graph.kept(graph.load(spark, d))
+    return reach.cones(g, g.nodes.filter("kind = 'heap-object'"), reverse=True).select("seed", "node")
+
+
+@query()
+def flow_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 nodes of each read's cone with the node before each; the cut is the feature."""
+    g = graph.kept(graph.load(spark, d))
+    return reach.shown(reach.cones(g, g.nodes.filter("kind = 'read'"))).select("seed", "place", "node", "parent", "distance", "reached", "truncated")
+
+
+@query()
+def flow_witnesses(spark: SparkSession, d: str) -> DataFrame:
+    """For each read and each heap object, the first way from one to the other, if there is one."""
+    from weftgraph.operators.traverse import flow_links
+    from weftgraph.plans.durable import durable
+
+    g = graph.kept(graph.load(spark, d))
+    states = durable(reach.walk(g.nodes.filter("kind = 'read'"), flow_links(reach.flow_edges(g)))[0], "states")
+    heap = g.nodes.filter("kind = 'heap-object'").select(F.col("id").alias("node"))
+    return reach.witnesses(states, reach.first_states(states).join(heap, "node", "left_semi")).select("seed", "node", "hops", F.array_join("path", " > ").alias("path"))
+
+
+@query()
+def invariant_traces(spark: SparkSession, d: str) -> DataFrame:
+    """What reads, writes and checks stand within four steps of each heap object."""
+    g = graph.kept(graph.load(spark, d))
+    return reach.invariant_trace(g, g.nodes.filter("kind = 'heap-object'"))
 
 
 @query(f"""{_RNE}, I AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE kind = 'VALUE_FLOWS_TO' AND reason IN ('allocation','initializer','assignment','write','read','read-value','argument-value','context-argument','context-call-result','return','call-result','branch-reaching-definition','phi-input','call-argument','value-preserving-expression') AND src IS NOT NULL AND dst IS NOT NULL),
@@ -402,7 +432,7 @@ def points_to(spark: SparkSession, d: str) -> DataFrame:
     from weftgraph.plans.durable import durable
     from weftgraph.plans.fixpoint import fixpoint
 
-    g = graph.load(spark, d)
+    g = graph.kept(graph.load(spark, d))
     links = durable(g.edges.filter("kind = 'VALUE_FLOWS_TO' and src is not null and dst is not null").filter(F.col("reason").isin(*schema.IDENTITY_REASONS)).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "identity")
     seed = g.edges.filter("kind = 'POINTS_TO' and src is not null and dst is not null").select(F.col("src").alias("value"), F.col("dst").alias("heap_object"))
     found, _ = fixpoint(seed, lambda f: f.join(links, f["value"] == links["a"]).select(F.col("b").alias("value"), "heap_object"), ["value", "heap_object"])

@@ -213,13 +213,3 @@ def merge_points(g: Graph) -> DataFrame:
     """(id, n_before): statements where control flow from several others meets."""
     c = rules.cfg(g).filter("a <> b")
     return c.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n_before")).filter("n_before > 1")
-
-
-def taint_pairs(g: Graph, rounds: int | None = None) -> DataFrame:
-    """(source, sink, distance): parameters that look like input and the effects their values reach, calls matched with returns."""
-    from weftgraph.operators.traverse import context_reach, flow_links
-
-    r = durable(rules.security_roles(g), "roles")
-    reach = context_reach(r.filter("role = 'source'").select("id"), flow_links(g.semantic(*schema.FLOW_EDGE_KINDS)), rounds)
-    sinks = r.filter("role = 'sink'").select(F.col("id").alias("node"))
-    return reach.join(sinks, "node", "left_semi").select(F.col("seed").alias("source"), F.col("node").alias("sink"), "distance")

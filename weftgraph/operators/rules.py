@@ -29,24 +29,6 @@ def call_contexts(g: Graph) -> DataFrame:
     return j.select(schema.stable_id("core", F.lit("graph"), F.lit("call-context"), F.col("call_id"), F.coalesce("target", F.lit("unresolved"))).alias("id"), "call_id", "target")
 
 
-def name_fallback(g: Graph) -> DataFrame:
-    """(call_id, target): undecided calls to what their unit declares under the called name, at most eight such."""
-    u = navigate.unresolved_calls(g).join(navigate.callsite_index(g).select(F.col("node_id").alias("call_id"), "callee_name"), "call_id")
-    decl = navigate.decl_index(g).filter(F.col("kind").isin("function", "method"))
-    few = decl.groupBy("name", "unit").agg(F.count(F.lit(1)).alias("n")).filter("n <= 8").select("name", "unit")
-    d = decl.join(few, ["name", "unit"], "left_semi").select(F.col("name").alias("callee_name"), "unit", F.col("node_id").alias("target"))
-    return u.join(d, ["callee_name", "unit"]).select("call_id", "target")
-
-
-def security_roles(g: Graph) -> DataFrame:
-    """(id, role, role_kind): parameters that look like input and calls that look like effects, by ordered rules."""
-    name = F.lower("label")
-    source = F.when(name.rlike("req|request|query|input"), "request-like").when(name.rlike("(^|_)(id|key|index)$"), "identifier-like").when(name.rlike("src|opts|buffer"), "boundary")
-    sink = F.when(name == "log_write", "log").when(name.rlike("^(buf|mem|str)_"), "memory").when(name.rlike("^(send|queue|write|save)"), "output")
-    n = g.nodes.select("id", "kind", F.when(F.col("kind") == "parameter", source).when(F.col("kind") == "call", sink).alias("role_kind"))
-    return n.filter("role_kind is not null").select("id", F.when(F.col("kind") == "parameter", "source").otherwise("sink").alias("role"), "role_kind")
-
-
 def model_bindings(g: Graph, models: DataFrame) -> DataFrame:
     """(call_id, model_id, model, effect): call sites bound to runtime models by name; models are counted before they are sent."""
     m = models.filter("kind = 'function'").select(F.col("id").alias("model_id"), F.get_json_object("props", "$.model").alias("model")).filter("model is not null")

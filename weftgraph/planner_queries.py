@@ -158,13 +158,3 @@ def connectors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_E}, X AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE {_sem('CFG_NEXT')} AND src <> dst) SELECT b AS id, count(*) AS n_before FROM X GROUP BY b HAVING count(*) > 1")
 def merge_points(spark: SparkSession, d: str) -> DataFrame:
     return planner.merge_points(graph.load(spark, d))
-
-
-_ROLES = rq.ORACLE["security_roles"]
-_ROLE_SQL = "XR AS (SELECT " + _ROLES.split("X AS (SELECT ", 1)[1].split(" FROM N)", 1)[0] + " FROM N), O AS (" + _ROLES.split(" FROM N)", 1)[1].replace("FROM X", "FROM XR") + ")"
-
-
-@query(f"""{_RNE}, {_ROLE_SQL}, {gq._FLOW.format(push='context-parameter', pop='context-return', kinds=gq._kinds(schema.FLOW_EDGE_KINDS))}, S AS (SELECT id FROM O WHERE role = 'source'), {gq._WALK.rsplit('SELECT seed, node', 1)[0]}
- SELECT seed AS source, node AS sink, min(distance) AS distance FROM W WHERE seed <> node AND node IN (SELECT id FROM O WHERE role = 'sink') GROUP BY 1, 2""")
-def taint_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return planner.taint_pairs(graph.load(spark, d))

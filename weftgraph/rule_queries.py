@@ -51,19 +51,6 @@ def call_contexts(spark: SparkSession, d: str) -> DataFrame:
     return rules.call_contexts(graph.load(spark, d))
 
 
-@query(f"""{_NE}, {_OPEN}, {_SITES}, D AS (SELECT id, label AS name, unit, count(*) OVER (PARTITION BY label, unit) AS n FROM N WHERE kind IN ('function','method'))
- SELECT call_id, D.id AS target FROM U JOIN C ON C.node_id = U.call_id JOIN D ON D.name = C.callee_name AND D.unit = U.unit WHERE n <= 8""")
-def name_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return rules.name_fallback(graph.load(spark, d))
-
-
-@query(f"""WITH {_N}, X AS (SELECT id, kind, CASE WHEN kind = 'parameter' THEN CASE WHEN regexp_matches(lower(label), 'req|request|query|input') THEN 'request-like' WHEN regexp_matches(lower(label), '(^|_)(id|key|index)$') THEN 'identifier-like' WHEN regexp_matches(lower(label), 'src|opts|buffer') THEN 'boundary' END
- WHEN kind = 'call' THEN CASE WHEN lower(label) = 'log_write' THEN 'log' WHEN regexp_matches(lower(label), '^(buf|mem|str)_') THEN 'memory' WHEN regexp_matches(lower(label), '^(send|queue|write|save)') THEN 'output' END END AS role_kind FROM N)
- SELECT id, CASE WHEN kind = 'parameter' THEN 'source' ELSE 'sink' END AS role, role_kind FROM X WHERE role_kind IS NOT NULL""")
-def security_roles(spark: SparkSession, d: str) -> DataFrame:
-    return rules.security_roles(graph.load(spark, d))
-
-
 @query(f"""WITH {_E}, M AS (SELECT id, json_extract_string(props, '$.model') AS model FROM builtin_nodes WHERE kind = 'function') SELECT DISTINCT src AS call_id, M.id AS model_id, model, CASE model {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.EFFECT_OF.items())} ELSE 'none' END AS effect
  FROM E JOIN M ON M.id = E.dst WHERE {_sem('CALLS', 'INVOKES')} AND model IS NOT NULL""")
 def model_bindings(spark: SparkSession, d: str) -> DataFrame:
