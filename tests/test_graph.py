@@ -178,12 +178,30 @@ C, D = "c", "d"
     (["<?>", "*"], ["<3>", "*"], "VARIABLE_EXACT_MATCH", [], None), ([C], [C, D], "NO_MATCH", [], [[D]]), ([C, D], [C, "?"], "VARIABLE_EXACT_MATCH", [], None),
 ])
 def test_access_paths(use, definition, want, left, excluded):
-    assert paths.match(paths.normal(use), paths.normal(definition), excluded) == (want, left)
+    as_text = lambda steps: paths.normal(paths.text_of(steps))
+    got = paths.match_columns([as_text(use)], [as_text(definition)], [[as_text(x) for x in excluded]] if excluded else None)
+    assert got == ([want], [paths.text_of(left)])
 
 
 @pytest.mark.parametrize("path,want", [(["&", "*"], []), (["*", "&"], []), (["<2>", "<-2>"], []), (["<2>", "<3>"], ["<5>"]), (["<0>"], []), (["<?>", "<3>"], ["<?>"]), (["&", "<2>", "<-2>", "*"], [])])
 def test_normal_paths(path, want):
-    assert paths.normal(path) == want
+    assert paths.steps_of(paths.normal(paths.text_of(path))) == want
+
+
+def test_path_columns(spark):
+    rows = [("/*/f", "/*/f/<2>/<-2>"), ("/a/b", "/a"), (None, "/a"), ("/a", None), ("", ""), ("/<?>/*", "/<3>/*"), ("/*/f", "/*/g")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, use_path string, def_path string")
+    got = [(r.result, r.rest) for r in paths.match_paths(df).orderBy("i").collect()]
+    assert got == [("EXACT_MATCH", ""), ("PREFIX_MATCH", "/b"), (None, None), (None, None), ("EXACT_MATCH", ""), ("VARIABLE_EXACT_MATCH", ""), ("NO_MATCH", "")]
+    rng = random.Random(9)
+    for _ in range(200):  # a way and the way back cancel; the normal form is one
+        steps = [rng.choice(["*", "&", "<1>", "<-2>", "<3>"]) for _ in range(rng.randrange(9))]
+        text = paths.text_of(steps)
+        assert paths.normal(text + paths.inverse(text)) == "" and paths.normal(paths.normal(text)) == paths.normal(text)
+    files = spark.createDataFrame([("1", "x->a.b = 1;\ny = x->a.b + x->c == z[3];\nx->a = q;\nr(x->a.b)"), ("2", None), ("3", "")], "file_id string, text string")
+    m = paths.member_paths(files)
+    assert sorted(tuple(r)[1:] for r in m.collect()) == [(1, 0, "x", "/*/a/b", True), (2, 0, "x", "/*/a/b", False), (2, 1, "x", "/*/c", False), (2, 2, "z", "/<3>/*", False), (3, 0, "x", "/*/a", True), (4, 0, "x", "/*/a/b", False)]
+    assert {(r.line, r.use_path, r.result, r.rest) for r in paths.reads_of_writes(m).collect()} == {(2, "/*/a/b", "EXACT_MATCH", ""), (2, "/*/c", "NO_MATCH", ""), (4, "/*/a/b", "PREFIX_MATCH", "/b")}
 
 
 def test_python_source(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import graph
+from weftgraph.functions import paths
 from weftgraph import graph_queries as gq
 from weftgraph.operators import rules, traverse
 from weftgraph.sources.tables import table
@@ -178,3 +179,21 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def file_imports(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "files").dropDuplicates(["file_id"]).select("file_id", F.explode("imports").alias("i")).filter("i is not null")
     return f.groupBy("file_id", F.col("i.source").alias("imported"), F.col("i.source_kind").alias("source_kind")).agg(F.count(F.lit(1)).alias("n_bindings"))
+
+
+@query()
+def member_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Access paths of the member expressions in the kept texts, written or read."""
+    return paths.member_paths(table(spark, d, "files"))
+
+
+@query()
+def path_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often each field of each base is written and read in a file."""
+    return paths.path_uses(paths.member_paths(table(spark, d, "files")))
+
+
+@query()
+def reads_of_writes(spark: SparkSession, d: str) -> DataFrame:
+    """How each read of a member meets the last write before it to its base."""
+    return paths.reads_of_writes(paths.member_paths(table(spark, d, "files")))
