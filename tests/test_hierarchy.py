@@ -109,3 +109,23 @@ def test_ended_chains_through_the_recursion(spark, monkeypatch, fragment, quotie
             p = r["path"]
             assert (p is None) == (r["depth"] == -1)
             assert p is None or (p[0] == r["root"] and p[-1] == r["node"] and len(p) == r["depth"] + 1 and all((c, u) in parents for u, c in zip(p, p[1:])))
+
+
+@pytest.mark.parametrize("paths", [False, True])
+def test_general_graphs_over_all_tasks(spark, monkeypatch, paths):
+    monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", 5)
+    monkeypatch.setattr(hierarchy, "QUOTIENT_ROWS", 0)
+    monkeypatch.setattr(hierarchy, "LEVELS", 0)
+    rng = random.Random(11 + paths)
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("e", "e"), ("e", "top"), ("f", "e"), ("f", "top")]
+    for g in range(6):
+        names = [f"{g}.{i}" for i in range(9)]
+        links += [(names[i], names[rng.randrange(i)]) for i in range(1, 9) for _ in range(2)]
+        links += [(names[0], names[5])] if g % 3 == 0 else []
+    want, _ = brute(links)
+    rows = hierarchy.resolve_links(table(spark, links), paths).collect()
+    assert sorted((r["node"], r["root"], r["depth"]) for r in rows) == sorted((n, root, depth) for n, (root, depth) in want.items())
+    known = set(links)
+    for r in rows if paths else ():
+        p = r["path"]
+        assert (p is None) == (r["depth"] == -1) and (p is None or (len(p) == r["depth"] + 1 and p[0] == r["root"] and p[-1] == r["node"] and all((c, u) in known for u, c in zip(p, p[1:]))))

@@ -8,7 +8,9 @@
 3. Exits that are children elsewhere, and children with several parents, form the smaller quotient
    graph. Chains that ended in a local cycle hang there from a mark of that cycle. It is solved by
    the same steps until one bounded task can solve it, where strongly connected parts show the
-   cycles that cross fragments.
+   cycles that cross fragments. A quotient beyond that bound in which no node has a single parent,
+   or that ``LEVELS`` levels have not solved, is solved over all tasks: strongly connected parts by
+   colouring, what hangs below them by falling least ids, the rest by falling depths.
 4. Fragment rows are joined with the solution of their exits.
 
 Defined cases: links with a null end do not count; repeated links count once; a link to itself is a
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.durable import durable
+from weftgraph.plans.fixpoint import fixpoint
 
 #: Links of one fragment.
 FRAGMENT_ROWS = 50_000
 #: Links of a quotient graph that one task solves.
 QUOTIENT_ROWS = 500_000
-#: Levels of quotients; what is left then, or has no child with a single parent, goes to one task.
+#: Levels of quotients; what is left then, or has no child with a single parent, is solved as a general graph.
 LEVELS = 25
 #: Rows of a solved quotient up to which it is broadcast for the expansion (about 10 MB).
 BROADCAST_ROWS = 50_000
@@ -187,6 +190,36 @@ def _solve_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["node", "root", "depth", "cycle_low", "on_cycle", "path"])
 
 
+def _solve_spread(quotient: DataFrame, paths: bool) -> DataFrame:
+    """What :func:`solve_quotient` gives, for links of any number and shape, by joins over all tasks."""
+    from weftgraph.operators.traverse import strong_components
+
+    nodes = durable(quotient.select(F.col("child").alias("node")).distinct(), "quotient-nodes")
+    inner = durable(quotient.filter(F.col("parent").isNotNull()).join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent", "hops", "low", "steps"), "inner")
+    part = durable(strong_components(inner.select(F.col("child").alias("a"), F.col("parent").alias("b"))), "parts")
+    of = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+    looped = inner.join(of("child"), "child").join(of("parent"), "parent").filter("child_part = parent_part").groupBy(F.col("child_part").alias("component")).agg(F.min("low").alias("least"))
+    on = durable(part.join(looped, "component").select(F.col("id").alias("node"), F.col("least").alias("low")), "on-cycles")
+    ended = quotient.filter(F.col("parent").isNull()).select(F.col("child").alias("node"), F.col("cycle_low").alias("low"))
+    down = inner.select(F.col("parent").alias("node"), "child").distinct()
+    caught, _ = fixpoint(on.unionByName(ended), lambda f: f.join(down, "node").select(F.col("child").alias("node"), "low"), ["node"], falling="low")
+    caught = durable(caught.groupBy("node").agg(F.min("low").alias("low")), "caught")
+    caught = caught.join(on.select("node", F.lit(True).alias("on")), "node", "left")
+
+    sound = durable(quotient.filter(F.col("parent").isNotNull()).join(caught.select(F.col("node").alias("child")), "child", "left_anti"), "sound")
+    steps = (lambda before: F.concat(before, "steps")) if paths else (lambda before: F.lit(None).cast("array<string>"))
+    tops = sound.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    best = lambda depth, root, path: F.struct(depth.alias("depth"), root.alias("root"), path.alias("path")).alias("best")
+    start = tops.select(F.col("child").alias("node"), best(F.col("hops"), F.col("parent"), steps(F.array("parent"))))
+    step = lambda f: f.join(sound, f["node"] == sound["parent"]).select(F.col("child").alias("node"), best(F.col("best.depth") + F.col("hops"), F.col("best.root"), steps(F.col("best.path"))))
+    found, _ = fixpoint(start, step, ["node"], falling="best")
+    found = found.groupBy("node").agg(F.min("best").alias("best"))
+    none = F.lit(None).cast("array<string>")
+    return found.select("node", "best.root", "best.depth", F.lit(None).cast("string").alias("cycle_low"), F.lit(False).alias("on_cycle"), F.col("best.path").alias("path")).unionByName(
+        caught.select("node", F.col("low").alias("root"), F.lit(-1).cast("long").alias("depth"), F.col("low").alias("cycle_low"), F.coalesce("on", F.lit(False)).alias("on_cycle"), none.alias("path"))
+    )
+
+
 def _doubled(single: DataFrame) -> DataFrame:
     """One round of pointer doubling by a join, for a quotient that fragments no longer shrink."""
     p = single.select(*[F.col(c).alias(f"p_{c}") for c in ("child", "parent", "hops", "low", "steps")])
@@ -249,8 +282,10 @@ def _solve(links: DataFrame, paths: bool, level: int = 0) -> DataFrame:
         quotient = quotient.unionByName(head_links)
     quotient = durable(quotient, "quotient")
     m = quotient.count()
-    if m <= QUOTIENT_ROWS or n_several + n_marks == n or level >= LEVELS:
+    if m <= QUOTIENT_ROWS:
         solved = durable(quotient.coalesce(1).mapInArrow(_solve_task, SOLVED), "solved")
+    elif n_several + n_marks == n or level >= LEVELS:
+        solved = durable(_solve_spread(quotient, paths), "solved")
     else:
         # A chain that ended in a local cycle hangs from a mark, a cycle of one whose least id is that of the
         # cycle it stands for; the next quotient finds it like any other cycle, wherever its children are.
