@@ -505,35 +505,6 @@ def settled_modularity(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- findings
-_STATE = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in lifetime.STATE_OF.items()) + " END"
-
-
-@query(f"SELECT user_id, count(*) FILTER (WHERE s = 'alloc') > 0 AND count(*) FILTER (WHERE s = 'free') = 0 AND count(*) FILTER (WHERE s = 'escape') = 0 AS leaks FROM (SELECT user_id, {_STATE} AS s FROM events) GROUP BY user_id")
-def leaks(spark: SparkSession, d: str) -> DataFrame:
-    return lifetime.leaks(table(spark, d, "events"))
-
-
-@query(f"""WITH S AS (SELECT user_id, event_id, ts, {_STATE} AS s FROM events), L AS (SELECT *, count(*) FILTER (WHERE s = 'alloc') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM S),
- F AS (SELECT *, coalesce(bool_or(s = 'free') OVER (PARTITION BY user_id, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS freed FROM L)
- SELECT user_id, event_id, CASE WHEN s = 'free' THEN 'double-free' ELSE 'use-after-free' END AS finding FROM F WHERE freed AND s IN ('free','use')""")
-def misuses(spark: SparkSession, d: str) -> DataFrame:
-    return lifetime.misuses(table(spark, d, "events"))
-
-
-@query(f"""{_NE}, {_PAIRS}, C AS (SELECT callee AS id, count(*) AS callers FROM P GROUP BY 1), G AS (SELECT DISTINCT src AS id FROM E WHERE kind = 'GUARDED_BY' OR sem = 'GUARDED_BY')
- SELECT N.id, round((0.3 * least(coalesce(callers, 0), 10) / 10.0 + 0.7 * (g.id IS NULL)::INT) * greatest(0.3, CASE WHEN confidence = 'exact' THEN 1.0 ELSE 0.5 END), 4)::DOUBLE AS rank
- FROM N LEFT JOIN C ON C.id = N.id LEFT JOIN G g ON g.id = N.id WHERE kind IN ('function','method')""")
-def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Functions by how many call them and whether anything guards them."""
-    g = graph.load(spark, d)
-    calls = navigate.call_pairs(g).groupBy(F.col("callee").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    guarded = g.semantic("GUARDED_BY").select(F.col("src").alias("id")).distinct().withColumn("has", F.lit(1))
-    j = g.nodes.filter(F.col("kind").isin("function", "method")).join(calls, "id", "left").join(guarded, "id", "left")
-    used = F.least(F.coalesce("callers", F.lit(0)), F.lit(10)) / 10.0
-    whole = F.when(F.col("confidence") == "exact", 1.0).otherwise(0.5)
-    return j.select("id", lifetime.rank({"used": (used, 0.3), "open": (F.col("has").isNull().cast("int"), 0.7)}, whole, F.lit(1.0)).alias("rank"))
-
-
 @query(f"""{_NE}, D AS (SELECT unit, id, label FROM N WHERE kind IN ('function','method') AND unit IS NOT NULL), W AS (SELECT *, sum(length(label)) OVER (PARTITION BY unit ORDER BY label, id ROWS UNBOUNDED PRECEDING) AS running FROM D),
  X AS (SELECT *, max(running) OVER (PARTITION BY unit) > 200 AS truncated FROM W) SELECT unit, id, running::BIGINT AS running, truncated FROM X WHERE running <= 200""")
 def budgeted_slices(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Typestate over ordered events: leaks, double frees, uses after free; ranks and budgets of findings."""
+"""Typestate over ordered event tables; ids and budgets of findings."""
 
 from __future__ import annotations
 
@@ -32,14 +32,6 @@ def misuses(events: DataFrame) -> DataFrame:
     return e.withColumn("freed", freed).select("user_id", "event_id", finding.alias("finding")).filter("finding is not null")
 
 
-def rank(parts: dict[str, tuple[Column, float]], completeness: Column, provenance: Column) -> Column:
-    """Weighted sum of the parts, scaled by how complete and how well sourced the evidence is (at least 0.3)."""
-    total = None
-    for value, weight in parts.values():
-        total = value * weight if total is None else total + value * weight
-    return F.round(total * F.greatest(F.lit(0.3), completeness * provenance), 4)
-
-
 def capsule_id(claim: Column, entry: Column, effect: Column) -> Column:
     """A finding's id, made of what it says."""
     return F.concat(F.lit("cap_"), F.substring(F.sha2(F.to_json(F.struct(claim.alias("claim"), entry.alias("entry"), effect.alias("effect"))), 256), 1, 16))

@@ -59,14 +59,6 @@ def function_summaries(g: Graph, models: DataFrame) -> DataFrame:
     return j.select("id", F.coalesce("n_callees", zero).alias("n_callees"), F.coalesce("n_sinks", zero).alias("n_sinks"), F.col("called").isNull().alias("is_source"), taxonomy.alias("taxonomy"))
 
 
-def preceding_conditions(g: Graph) -> DataFrame:
-    """(id, conditions_before): statements of a body with the branching ones that stand before them."""
-    body = g.semantic("CONTAINS_BODY").filter("src is not null and dst is not null").select(F.col("src").alias("owner"), F.col("dst").alias("id")).distinct()
-    s = body.join(g.nodes.filter("kind = 'statement'").select("id", "start_line", F.get_json_object("props", "$.control_kind").alias("control")), "id")
-    w = Window.partitionBy("owner").orderBy(F.asc_nulls_first("start_line"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    return s.select("owner", "id", F.count_if(F.col("control") == "if").over(w).alias("conditions_before"))
-
-
 def witnesses(g: Graph, depth: int | None = None) -> DataFrame:
     """(seed, node, path): the least of the shortest call paths from each entry point to each guarded function."""
     calls = durable(navigate.call_pairs(g), "calls")

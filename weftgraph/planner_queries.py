@@ -61,12 +61,6 @@ def function_summaries(spark: SparkSession, d: str) -> DataFrame:
     return planner.function_summaries(graph.load(spark, d), table(spark, d, "builtin_nodes"))
 
 
-@query(f"""{_NE}, B AS (SELECT DISTINCT src AS owner, dst AS id FROM E WHERE {_sem('CONTAINS_BODY')}) SELECT owner, B.id, count(*) FILTER (WHERE json_extract_string(props, '$.control_kind') = 'if') OVER (PARTITION BY owner ORDER BY start_line NULLS FIRST, B.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS conditions_before
- FROM B JOIN N ON N.id = B.id WHERE kind = 'statement'""")
-def preceding_conditions(spark: SparkSession, d: str) -> DataFrame:
-    return planner.preceding_conditions(graph.load(spark, d))
-
-
 @query(f"""{_RNE}, {_PAIRS}, {_ENTRY}, {_GUARDED}, W(seed, node, path, n) AS (SELECT id, id, id, 0 FROM R UNION SELECT w.seed, p.callee, w.path || ' > ' || p.callee, w.n + 1 FROM W w JOIN P p ON p.caller = w.node WHERE w.n < 4)
  SELECT seed, node, path FROM W QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY n, path) = 1 AND n > 0 AND node IN (SELECT id FROM V)""")
 def witnesses(spark: SparkSession, d: str) -> DataFrame:
