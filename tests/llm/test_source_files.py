@@ -58,7 +58,9 @@ def test_python_agrees_with_the_interpreter():
 
 def test_depth_and_length_do_not_break():
     for language in ("python", "c", "javascript", "typescript"):
-        assert parsing.parse("x = " + "(" * 5000 + "1" + ")" * 5000 + ";", language)
+        deep = ("int x = " if language == "c" else "x = ") + "(" * 20_000 + "1" + ")" * 20_000
+        end = "\n" if language == "python" else ";"
+        assert parsing.parse(deep + end, language) == [] and parsing.parse(deep[:-1] + end, language)
         assert parsing.parse("x = 1 " + "+ 1 " * 20_000 + ("\n" if language == "python" else ";"), language) == [] or language == "c"
 
 

@@ -7,6 +7,7 @@ goes on, so one fault does not hide the next.
 
 from __future__ import annotations
 
+from weftgraph.llm.parsing.base import allow_nesting
 from weftgraph.llm.parsing.c import parse_c
 from weftgraph.llm.parsing.python import parse_python
 from weftgraph.llm.parsing.script import parse_script
@@ -22,6 +23,7 @@ def language_of(path: str | None) -> str | None:
 
 def parse(text: str, language: str) -> list[tuple[int, str]]:
     """All errors of ``text`` read as ``language``; none for an empty text."""
+    allow_nesting(text)
     if language == "c":
         return parse_c(text)
     if language == "python":

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import sys
 
-#: Nesting up to which a text is followed; beyond it the text counts as faulty there.
-DEPTH = 1500
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+#: Calls that one step of nesting may take; frames of Python functions live on the heap, so the limit only has to be high enough.
+CALLS = 60
+
+
+def allow_nesting(text: str) -> None:
+    """Let the parsers follow whatever nesting a text of this many openings can have."""
+    openings = sum(text.count(c) for c in "([{<?!~-+*&:`") + 1_000
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), min(CALLS * openings, 2**31 - 1)))
 
 
 class Fault(Exception):

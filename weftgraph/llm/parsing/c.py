@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from weftgraph.llm.parsing.base import DEPTH, Errors, Fault
+from weftgraph.llm.parsing.base import Errors, Fault
 
 _SPACE = re.compile(r"(?:[ \t\r\n\f\v﻿]|\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\.)*|/\*.*?\*/)+", re.S)
 _TOKEN = re.compile(
@@ -169,8 +169,6 @@ class _Parser:
 
     def deeper(self) -> None:
         self.depth += 1
-        if self.depth > DEPTH:
-            self.fail("nested too deeply")
 
     # -- panic mode
     def recover(self, start: int) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from weftgraph.llm.parsing.base import DEPTH, Errors, Fault
+from weftgraph.llm.parsing.base import Errors, Fault
 
 _BLANK = re.compile(r"[ \t\f]*")
 _NUMBER = re.compile(r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:[0-9](?:_?[0-9])*\.(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][-+]?[0-9](?:_?[0-9])*)?[jJ]?|[0-9](?:_?[0-9])*[eE][-+]?[0-9](?:_?[0-9])*[jJ]?|[0-9](?:_?[0-9])*[jJ]|[1-9](?:_?[0-9])*|0(?:_?0)*")
@@ -325,8 +325,6 @@ class _Parser:
 
     def deeper(self) -> None:
         self.nested += 1
-        if self.nested > DEPTH:
-            self.fail("nested too deeply")
 
     # -- panic mode
     def recover(self, start: int) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from weftgraph.llm.parsing.base import DEPTH, Errors, Fault
+from weftgraph.llm.parsing.base import Errors, Fault
 
 _SPACE = re.compile(r"(?:[\s﻿]|//[^\n\r  ]*|/\*.*?\*/)+", re.S)
 _LINE = re.compile(r"[\n\r  ]")
@@ -126,8 +126,6 @@ class _Parser:
 
     def deeper(self) -> None:
         self.depth += 1
-        if self.depth > DEPTH:
-            self.fail("nested too deeply")
 
     def state(self) -> tuple:
         return self.at, self.depth, self.in_function, self.in_async, self.in_generator, self.no_in, self.ambient, self.last_end, self.no_arrow_type

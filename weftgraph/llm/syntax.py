@@ -1,9 +1,9 @@
 """Source files that do not parse, with all errors, first cause and rates per unit and language.
 
 Defined cases: a null text or a path of no known extension is no case; an empty text parses;
-repeated rows of a file count once (a file is faulty if one of its texts is); nesting beyond the
-parsers' depth counts as an error; rows without a file_id are one file; a null unit is a unit of its
-own; an empty table gives no rows.
+repeated rows of a file count once (a file is faulty if one of its texts is); nesting of any depth is
+followed; rows without a file_id are one file; a null unit is a unit of its own; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
