@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph import graph, schema
 from weftgraph.functions import paths
@@ -162,11 +163,49 @@ def test_store_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in g.edges.filter("kind = 'CALLS'")._jdf.queryExecution().toString()
     with pytest.raises(store.StoreMismatch):
         store.read_store(spark, str(tmp_path / "none"))
+    assert store.versions(spark, path) and len(store.versions(spark, path)) == 2 and store.read_manifest(spark, path)["n_nodes"] == 2
+    both = store.composite(g, graph.Graph(spark.createDataFrame([("a", "function", "other"), ("z", "file", "z")], "id string, kind string, label string"), edges.union(edges)))
+    assert {(r.id, r.label) for r in both.nodes.collect()} == {("a", "f"), ("b", "g"), ("z", "z")} and both.edges.count() == 2
     over = store.apply_overlay(g, spark.createDataFrame([("a", "new")], "id string, label string"), spark.createDataFrame([("a", "x", "x"), ("c", "x", "y")], "id string, kind string, label string"))
     assert {(r.id, r.label) for r in over.nodes.collect()} == {("a", "new"), ("b", "g"), ("c", "y")}
     old = spark.createDataFrame([("f", "h1")], "file_id string, content_hash string")
     new = spark.createDataFrame([("f", "h1"), ("g", "h1"), ("f", "h2")], "file_id string, content_hash string")
     assert {tuple(r) for r in store.changed_files(new, old).collect()} == {("g", "h1"), ("f", "h2")}
+    store.write_store(graph.Graph(nodes.withColumn("file", F.lit("a/test_x.py")), edges), path, drop_tests=True, keep=0)
+    assert len(store.versions(spark, path)) == 1 and store.read_store(spark, path).nodes.count() == 0
+    assert store.read_headers(spark, path).columns == ["id", "kind", "file"]
+
+
+def test_cache_inventory_and_sinks(spark, tmp_path):
+    files = spark.createDataFrame([("a.c", "1"), ("b.c", "2"), ("a.c", "1")], "path string, content_hash string")
+    cache = store.GraphCache(spark, str(tmp_path / "cache"))
+    assert cache.list() == [] and cache.prune(1) == []
+    key = cache.key(files, {"tool": "1"})
+    assert key == cache.key(files.orderBy("path").distinct(), {"tool": "1"}) != cache.key(files, {"tool": "2"}) and cache.get(key) is None
+    g = graph.Graph(spark.createDataFrame([("a", "function", "f")], "id string, kind string, label string"), spark.createDataFrame([(1, "a", "a", "CALLS")], "row_id long, src string, dst string, kind string"))
+    assert cache.put(key, g).nodes.count() == 1 and cache.get(key).edges.count() == 1 and cache.list() == [key]
+    assert cache.prune(0) == [key] and cache.get(key) is None
+    src = tmp_path / "dist" / "src"
+    for p in ("x.py", "node_modules/y.js", "sub/test_z.py", "sub/w.ts", "note.txt"):
+        (src / p).parent.mkdir(parents=True, exist_ok=True)
+        (src / p).write_text("x")
+    names = lambda df: {r.path.rsplit("/", 1)[-1] for r in df.collect()}
+    assert names(store.source_inventory(spark, str(src))) == {"x.py", "test_z.py", "w.ts"}
+    assert names(store.source_inventory(spark, str(src), include_tests=False)) == {"x.py", "w.ts"}
+    df = spark.createDataFrame([(1, "x"), (None, "y")], "a long, b string")
+    assert sorted(r.value for r in store.as_lines(df).collect()) == ['{"a":1,"b":"x"}', '{"b":"y"}'] and sorted(r.value for r in store.as_lines(df, True).collect()) == ["a=1  b=x", "b=y"]
+    assert store.sink(df, None) is df and store.sink(df, str(tmp_path / "out")).count() == 2
+    (tmp_path / "cat.json").write_text('{"method": "read", "kind": "source", "endpoint": "Argument[1]"}\n{"method": "run", "package": "os", "kind": "sink", "endpoint": "Argument[*]"}\n{"method": "dup", "kind": "summary", "endpoint": "Argument[0]->ReturnValue"}\n{"method": "esc", "kind": "sanitizer", "endpoint": "Receiver->ReturnValue"}\n')
+    cat = {k: [tuple(r) for r in v.collect()] for k, v in store.load_catalog(spark, str(tmp_path / "cat.json")).items()}
+    assert cat == {"sources": [("read", "source", "1")], "sinks": [("os.run", "sink", "*")], "summaries": [("dup", "summary", "0", "return")], "sanitizers": [("esc", "sanitizer", "receiver", "return")]}
+    assert all(v.count() == 0 for v in store.load_catalog(spark, str(tmp_path / "none.json")).values())
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(src), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", "x.py")
+    run("commit", "-qm", "first")
+    assert [(c[1], c[3]) for c in store.git_history(str(src))] == [("n", "first")] and store.git_history(str(src), skip=1) == []
 
 
 C, D = "c", "d"
