@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph import graph, schema
 from weftgraph.functions import paths
 from weftgraph.operators import lifetime, nearest, traverse
-from weftgraph.sources import pysource, store
+from weftgraph.sources import store
 from weftgraph.streaming import events as streams
 
 LINK = "a string, b string"
@@ -49,15 +49,6 @@ def test_contexts_match_returns(spark):
     assert got == {("x", "p"), ("x", "r"), ("x", "rx"), ("y", "p"), ("y", "r"), ("y", "ry")}
 
 
-def test_every_candidate_of_a_call(spark):
-    text = "".join(f"def {name}(): pass\n" for name, k in (("one", 1), ("two", 2), ("many", 9)) for _ in range(k)) + "one()\ntwo()\nmany()\n"
-    rows = pysource.python_graph(spark.createDataFrame([("f", "a.py", text)], "file_id string, path string, text string"))
-    ids = {name: sorted(r.node_id for r in rows.filter(f"kind = 'function' and label = '{name}'").collect()) for name in ("one", "two", "many")}
-    got = sorted(((r.rung, r.target_id) for r in pysource.resolve_locally(rows).collect()), key=str)
-    assert len(ids["many"]) == 9
-    assert got == [("conservative", i) for i in ids["two"]] + [("exact", ids["one"][0]), ("over-cap", None)]
-
-
 def brute_contexts(links, seeds, most):
     """(seed, node): distance over states of node and whole stack, of at most so many contexts."""
     out = {}
@@ -243,15 +234,6 @@ def test_path_columns(spark):
     assert {(r.line, r.use_path, r.result, r.rest) for r in paths.reads_of_writes(m).collect()} == {(2, "/*/a/b", "EXACT_MATCH", ""), (2, "/*/c", "NO_MATCH", ""), (4, "/*/a/b", "PREFIX_MATCH", "/b")}
 
 
-def test_python_source(spark):
-    text = "import os\nfrom .a import b as c\nclass K:\n  def m(self, x):\n    return f(x)\ndef f(y, *z): os.path.join(y)\n"
-    df = spark.createDataFrame([("1", "u/x.py", text), ("1", "u/x.py", text), ("2", "u/y.py", "x = ("), ("3", "u/z.c", "int x;"), ("4", "u/w.py", None)], "file_id string, path string, text string")
-    rows = pysource.python_graph(df)
-    got = {(r.file_id, r.kind, r.label) for r in rows.collect()}
-    assert got >= {("1", "class", "K"), ("1", "method", "m"), ("1", "function", "f"), ("1", "call", "f"), ("1", "call", "os.path.join"), ("1", "import", ".a:b"), ("1", "parameter", "z"), ("2", "diagnostic", "SyntaxError")}
-    assert [r.rung for r in pysource.resolve_locally(rows).collect()] == ["exact"]
-
-
 def test_stream_agrees_with_batch(spark, tmp_path):
     rows = [(i, f"2026-01-01 00:00:{i % 60:02d}", i % 3, random.Random(i).choice(["signup", "purchase", "view", "error"])) for i in range(40)]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type")

@@ -152,20 +152,46 @@ def function_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- sources and streams
+def _python(spark: SparkSession, d: str) -> DataFrame:
+    from weftgraph.plans.durable import durable
+    from weftgraph.sources.pyfacts import python_facts
+
+    return durable(python_facts(table(spark, d, "files")), "python-facts")
+
+
+@query()
+def python_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations, definitions, reads, calls, statements and values of the kept Python texts."""
+    return _python(spark, d).filter("fact = 'node'").select("file_id", "id", "kind", "label", "owner_id", F.col("a").alias("start_offset"), F.col("b").alias("end_offset"), "line", "props")
+
+
+@query()
+def python_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Scopes, control flow and value flow of the kept Python texts."""
+    return _python(spark, d).filter("fact = 'edge'").select("file_id", "src", "dst", "kind", "reason", "props")
+
+
+@query()
+def python_imports(spark: SparkSession, d: str) -> DataFrame:
+    """What the imports of Python files lead to."""
+    from weftgraph.sources.pyfacts import import_targets
+
+    return import_targets(_python(spark, d), table(spark, d, "files"))
+
+
 @query()
-def python_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Declarations, parameters, calls and imports of the kept Python texts."""
-    from weftgraph.sources import pysource
+def python_overrides(spark: SparkSession, d: str) -> DataFrame:
+    from weftgraph.sources.pyfacts import overrides
 
-    return pysource.python_graph(table(spark, d, "files"))
+    return overrides(_python(spark, d))
 
 
 @query()
-def python_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Calls in Python texts that their own file resolves."""
-    from weftgraph.sources import pysource
+def python_calls(spark: SparkSession, d: str) -> DataFrame:
+    """What the calls in Python texts may reach, by name, class and number of candidates."""
+    from weftgraph.sources.pyfacts import call_candidates
 
-    return pysource.resolve_locally(pysource.python_graph(table(spark, d, "files")))
+    return call_candidates(_python(spark, d))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
