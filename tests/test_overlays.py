@@ -170,3 +170,20 @@ def test_taint_rule_and_own_rules(spark):
 def test_empty_graphs(spark, rule):
     g = graph(spark, [], [])
     assert not rule.applies(g)
+
+
+def test_runtime(spark):
+    from weftgraph.operators import runtime
+
+    js, py = {"language": "typescript"}, {"language": "python"}
+    nodes = [
+        ("c1", "call", {"callee": "JSON?.parse", "value_id": "v1"}, js), ("a1", "argument", {"callsite_id": "c1", "position": 0}), ("c2", "call", {"callee": "x.emit", "receiver_value_id": "x"}, js), ("a2", "argument", {"callsite_id": "c2", "position": 0, "literal": True, "literal_value": "go"}),
+        ("c3", "call", {"callee": "m.set", "receiver_value_id": "m"}, js), ("c4", "call", {"callee": "s.strip", "callee_name": "strip", "receiver": "s", "receiver_value_id": "s", "value_id": "v4"}, py), ("c5", "call", {"callee_name": "join"}, py), ("c6", "call", {"callee_name": "run", "receiver": "subprocess"}, py), ("c7", "call", {"callee": "fetch"}), ("c8", "call", {"callee": "a.b.exec"}, js),
+    ]
+    g = graph(spark, nodes, [])
+    assert {(r.call_id, r.model) for r in runtime.bound_calls(g).collect()} == {("c1", "JSON.parse"), ("c2", "*.emit"), ("c3", "*.set"), ("c4", "*.strip"), ("c6", "subprocess.run")}
+    out, report = overlays.fold(g, [runtime.RULE, next(r for r in overlays.RULES if r.name == "async-events")])
+    assert report[0][:2] == ("runtime-behaviors", 5) and report[1][1] == 1
+    have = {(r.kind, r.src, r.dst) for r in out.edges.collect()}
+    assert {("VALUE_FLOWS_TO", "a1", "v1"), ("VALUE_FLOWS_TO", "s", "v4"), ("MUTATES", "c3", "m"), ("EMITS_EVENT", "c2", ident(spark, "async-events", "async-event", "event", "x", "go"))} <= have
+    assert [r.name for r in overlays.all_rules()].index("runtime-behaviors") < [r.name for r in overlays.all_rules()].index("async-events")

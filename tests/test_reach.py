@@ -104,3 +104,10 @@ def test_paths_and_traces(spark):
     g = graph(spark, [], [("a", "b", "WRITES_TO"), ("c", "b", "CONDITION"), ("c", "d", "CALLS"), ("c", "e", "PROPERTY_READ")])
     got = {(r.src, r.dst, r.role, r.level) for r in reach.invariant_trace(g, ids(spark, "a"), 2).collect()}
     assert got == {("a", "b", "write", 0), ("c", "b", "check", 1)}
+
+
+def test_backwards(spark):
+    g = graph(spark, [("x", "parameter"), ("e", "expression")], EDGES + [("x", "e", "VALUE_FLOWS_TO", "read-value"), ("d", "e", "VALUE_FLOWS_TO", "initializer"), ("before", "d", "VALUE_FLOWS_TO", "read"), ("k", "e", "VALUE_FLOWS_TO", None)])
+    back = {(r.seed, r.node) for r in reach.back_over_calls(g, ids(spark, "r", "b2")).collect()}
+    assert {("r", "a"), ("r", "b"), ("r", "x"), ("r", "p"), ("b2", "a"), ("b2", "h")} <= back and ("b2", "x") not in back
+    assert {tuple(r) for r in reach.variable_context(g, ids(spark, "e")).collect()} == {("e", "d", "definition", "initializer"), ("e", "x", "origin", None)}

@@ -399,6 +399,23 @@ def sources_of(spark: SparkSession, d: str) -> DataFrame:
     return reach.cones(g, g.nodes.filter("kind = 'heap-object'"), reverse=True).select("seed", "node")
 
 
+@query()
+def back_over_calls(spark: SparkSession, d: str) -> DataFrame:
+    """What can feed every heap object over at most four nested calls; that depth is the question's own bound."""
+    g = graph.kept(graph.load(spark, d))
+    return reach.back_over_calls(g, g.nodes.filter("kind = 'heap-object'"))
+
+
+@query(f"""{_RNE}, VF AS (SELECT DISTINCT dst AS a, src AS b, reason FROM E WHERE (kind = 'VALUE_FLOWS_TO' OR sem = 'VALUE_FLOWS_TO') AND src IS NOT NULL AND dst IS NOT NULL),
+ VC(seed, node) AS (SELECT id, id FROM N WHERE kind = 'expression' UNION SELECT c.seed, v.b FROM VC c JOIN VF v ON v.a = c.node WHERE v.reason IN ('read','read-value','value-preserving-expression','arithmetic-operand','call-argument','field-read'))
+ SELECT DISTINCT c.seed, v.b AS node, 'definition' AS role, v.reason FROM VC c JOIN VF v ON v.a = c.node WHERE v.reason IN ('initializer','assignment','write','field-write','allocation','out-parameter','call-return')
+ UNION SELECT c.seed, c.node, 'origin', NULL FROM VC c JOIN N ON N.id = c.node WHERE N.kind IN ('parameter','allocation','heap-object') AND c.node <> c.seed""")
+def variable_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """What defines the value of every expression, and where it comes from."""
+    g = graph.kept(graph.load(spark, d))
+    return reach.variable_context(g, g.nodes.filter("kind = 'expression'"))
+
+
 @query()
 def flow_pages(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 nodes of each read's cone with the node before each; the cut is the feature."""

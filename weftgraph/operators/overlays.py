@@ -694,7 +694,15 @@ def _has_edges(*kinds: str) -> Callable[[Graph], bool]:
     return lambda g: not g.semantic(*kinds).isEmpty()
 
 
-#: The rules in the order in which they build on each other.
+def all_rules() -> list[Rule]:
+    """All rules in order, those of the runtimes before what reads their effects."""
+    from weftgraph.operators.runtime import RULE
+
+    at = next(i for i, r in enumerate(RULES) if r.name == "generic-security-roles")
+    return [*RULES[:at], RULE, *RULES[at:]]
+
+
+#: The rules of the core in the order in which they build on each other.
 RULES: list[Rule] = [
     Rule("branch-history", _has_edges("CFG_NEXT"), branch_history),
     Rule("dynamic-dispatch", has_kind("call"), dispatch),

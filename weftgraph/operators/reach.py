@@ -32,11 +32,12 @@ def flow_edges(g: Graph) -> DataFrame:
     return flow.unionByName(alias)
 
 
-def walk(seeds: DataFrame, links: DataFrame, budget: int | None = BUDGET) -> tuple[DataFrame, bool]:
+def walk(seeds: DataFrame, links: DataFrame, budget: int | None = BUDGET, most: int = CONTEXT_DEPTH, descend: bool = False) -> tuple[DataFrame, bool]:
     """States (seed, node, stack, depth, p_node, p_stack, p_depth, round) of walks from each seed (id) over links (a, b, push, pop).
 
     The stack is kept above the last context that no link leaves, as nothing below can be popped again; ``depth``
-    counts all of it. The parent is that of the first arrival, the least one of several.
+    counts all of it, ``most`` at most. With ``descend`` a walk that has entered nothing may leave any
+    context, as one does that starts inside a callee. The parent is that of the first arrival, the least of several.
     """
     left = links.filter("pop is not null").select(F.col("pop").alias("push")).distinct().withColumn("left", F.lit(True))
     links = durable(links.join(left, "push", "left"), "links")
@@ -45,14 +46,15 @@ def walk(seeds: DataFrame, links: DataFrame, budget: int | None = BUDGET) -> tup
     def step(found: DataFrame) -> DataFrame:
         j = found.join(links, found["node"] == links["a"])
         top = F.when(F.size("stack") > 0, F.element_at("stack", -1))
-        ok = F.when(F.col("push").isNotNull(), F.col("depth") < CONTEXT_DEPTH).when(F.col("pop").isNotNull(), top == F.col("pop")).otherwise(True)
+        loose = F.lit(descend) & (F.col("depth") == 0)
+        ok = F.when(F.col("push").isNotNull(), F.col("depth") < most).when(F.col("pop").isNotNull(), F.coalesce(top == F.col("pop"), F.lit(False)) | loose).otherwise(True)
         stack = (
             F.when(F.col("push").isNotNull() & F.col("left").isNull(), none)
             .when(F.col("push").isNotNull(), F.concat("stack", F.array("push")))
             .when(F.col("pop").isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0))))
             .otherwise(F.col("stack"))
         )
-        depth = F.col("depth") + F.when(F.col("push").isNotNull(), 1).when(F.col("pop").isNotNull(), -1).otherwise(0)
+        depth = F.greatest(F.col("depth") + F.when(F.col("push").isNotNull(), 1).when(F.col("pop").isNotNull(), -1).otherwise(0), F.lit(0))
         return j.filter(ok).select("seed", F.col("b").alias("node"), stack.alias("stack"), depth.alias("depth"), F.col("node").alias("p_node"), F.col("stack").alias("p_stack"), F.col("depth").alias("p_depth"))
 
     start = seeds.select("id").distinct().select(F.col("id").alias("seed"), F.col("id").alias("node"), none.alias("stack"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("p_node"), none.alias("p_stack"), F.lit(0).alias("p_depth"))
@@ -75,6 +77,35 @@ def cones(g: Graph, seeds: DataFrame, reverse: bool = False, budget: int | None
     return f.select("seed", "node", F.col("round").cast("long").alias("distance"), F.col("p_node").alias("parent"), F.lit(cut).alias("truncated"))
 
 
+#: Calls that a backward question may be nested in.
+CALLS_BACK = 4
+# Reasons of a flow that give a variable its value, that only carry one along, and kinds that have none before them.
+DEFINING = ("initializer", "assignment", "write", "field-write", "allocation", "out-parameter", "call-return")
+CARRYING = ("read", "read-value", "value-preserving-expression", "arithmetic-operand", "call-argument", "field-read")
+ORIGINS = ("parameter", "allocation", "heap-object")
+
+
+def back_over_calls(g: Graph, seeds: DataFrame, depth: int = CALLS_BACK, budget: int | None = BUDGET) -> DataFrame:
+    """(seed, node, distance, truncated): what can feed each seed (id) over at most ``depth`` nested calls; from inside a callee every caller counts."""
+    states, cut = walk(seeds, flow_links(flow_edges(g), True), budget, depth, True)
+    return first_states(states).filter("node <> seed").select("seed", "node", F.col("round").cast("long").alias("distance"), F.lit(cut).alias("truncated"))
+
+
+def variable_context(g: Graph, seeds: DataFrame) -> DataFrame:
+    """(seed, node, role, reason): going back from each seed (id), what defines its value, and the origins that nothing defines.
+
+    A defining flow is recorded and not followed; only flows that carry a value along are.
+    """
+    e = g.semantic("VALUE_FLOWS_TO").filter("src is not null and dst is not null").select(F.col("dst").alias("a"), F.col("src").alias("b"), "reason").distinct()
+    e = durable(e, "flow-back")
+    along = e.filter(F.col("reason").isin(*CARRYING)).select("a", "b")
+    found, _ = fixpoint(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")), lambda f: f.join(along, f["node"] == along["a"]).select("seed", F.col("b").alias("node")), ["seed", "node"])
+    at = durable(found.select("seed", "node"), "carried")
+    defs = at.join(e.filter(F.col("reason").isin(*DEFINING)).withColumnRenamed("a", "node"), "node").select("seed", F.col("b").alias("node"), F.lit("definition").alias("role"), "reason")
+    origin = at.join(g.nodes.filter(F.col("kind").isin(*ORIGINS)).select(F.col("id").alias("node")), "node", "left_semi").filter("node <> seed").select("seed", "node", F.lit("origin").alias("role"), F.lit(None).cast("string").alias("reason"))
+    return defs.unionByName(origin).distinct()
+
+
 def shown(cone: DataFrame, limit: int = 200) -> DataFrame:
     """The rows of each cone that a page shows: the seed first, then nodes by id, ``limit`` with it; the cut is the feature."""
     from pyspark.sql import Window

@@ -135,5 +135,13 @@ def unwitnessed(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fold_report(spark: SparkSession, d: str) -> DataFrame:
     """What every rule adds when all are applied in order."""
-    _, report = overlays.fold(_exported(spark, d), overlays.RULES)
+    _, report = overlays.fold(_exported(spark, d), overlays.all_rules())
     return spark.createDataFrame([(i, *r) for i, r in enumerate(report)], "place int, rule string, n_nodes long, n_edges long")
+
+
+@query()
+def runtime_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Calls whose names the runtimes' models know, and what they do."""
+    from weftgraph.operators.runtime import bound_calls
+
+    return bound_calls(graph.load(spark, d)).select("call_id", "model_id", "model", F.array_join("behaviors", " ").alias("behaviors"))
