@@ -33,26 +33,41 @@ _decoder = json.JSONDecoder(parse_float=_number, parse_constant=_no_constant)
 
 
 def _value(v: Any) -> Any:
-    if not isinstance(v, dict) or len(v) != 1:
+    if type(v) is not dict or len(v) != 1:
         raise Malformed("a value has one kind")
-    ((kind, x),) = v.items()
-    if kind == "text" and isinstance(x, str):
-        return x
-    if kind == "integer" and not isinstance(x, bool) and isinstance(x, (int, str)):
-        return int(x)
-    if kind == "real" and isinstance(x, (int, float, str)) and not isinstance(x, bool):
-        return Real(x)
-    if kind == "boolean" and isinstance(x, bool):
+    for kind, x in v.items():
+        read = _READ.get(kind)
+        if read is None:
+            raise Malformed(kind)
+        return read(x)
+
+
+def _only(*types: type):
+    def check(x: Any) -> Any:
+        if type(x) not in types:
+            raise Malformed("a value is of its kind")
         return x
-    if kind == "null_value":
-        return None
-    if kind == "list":
-        items = x.get("values", []) if isinstance(x, dict) else x
-        if isinstance(items, list):
-            return [_value(i) for i in items]
-    if kind == "object":
-        return _fields(x.get("fields", []) if isinstance(x, dict) else x)
-    raise Malformed(kind)
+
+    return check
+
+
+def _items(x: Any) -> list[Any]:
+    items = x.get("values", []) if type(x) is dict else x
+    if type(items) is not list:
+        raise Malformed("a list has values")
+    return [_value(i) for i in items]
+
+
+_integer, _real = _only(int, str), _only(int, float, Real, str)
+_READ = {
+    "text": _only(str),
+    "integer": lambda x: int(_integer(x)),
+    "real": lambda x: Real(_real(x)),
+    "boolean": _only(bool),
+    "null_value": lambda x: None,
+    "list": _items,
+    "object": lambda x: _fields(x.get("fields", []) if type(x) is dict else x),
+}
 
 
 def _fields(fields: Any) -> dict[str, Any]:
@@ -82,19 +97,12 @@ def decode(text: str | None, version: int | None) -> dict[str, Any] | None:
         return None
 
 
+_NAMES = {str: "text", int: "integer", Real: "real", float: "real", bool: "boolean", list: "list", dict: "object", type(None): None}
+
+
 def type_name(v: Any) -> str | None:
     """text, integer, real, boolean, list, object; None for null."""
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer"
-    if isinstance(v, float):
-        return "real"
-    if isinstance(v, str):
-        return "text"
-    return "list" if isinstance(v, list) else "object"
+    return _NAMES[type(v)]
 
 
 def canonical(v: Any) -> Any:

@@ -60,12 +60,24 @@ def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["shard_id", "record_no", "id", "field", "type", "value"])
 
 
-def _mark(kind: str | None, v) -> str | None:
-    """Equal exactly for values of equal type and content."""
-    if kind is None:
+def _form(v) -> str:
+    """A text that is equal exactly for values of equal type and content."""
+    kind = type(v)
+    if kind is str:
+        return repr(v)
+    if kind is dict:
+        return "{" + ",".join([f"{k!r}:{_form(v[k])}" for k in sorted(v)]) + "}"
+    if kind is list:
+        return "[" + ",".join([_form(x) for x in v]) + "]"
+    return f"{kind.__name__}{v!r}"
+
+
+def _mark(v) -> str | None:
+    """The form of a value, digested if it is long."""
+    if v is None:
         return None
-    plain = repr(v) if kind == "real" else _plain(v)
-    return f"{kind}:{plain}" if len(plain) <= 40 else f"{kind}#{hashlib.md5(plain.encode()).hexdigest()}"
+    form = _form(v)
+    return form if len(form) <= 40 else hashlib.md5(form.encode()).hexdigest()
 
 
 def _inner(v) -> list[str]:
@@ -84,7 +96,7 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields.append(list(props))
             types.append(kinds)
             inner.append([_inner(v) for v in props.values()])
-            marks.append([_mark(k, v) for k, v in zip(kinds, props.values())])
+            marks.append([_mark(v) for v in props.values()])
         columns = [pa.array(fields, names), pa.array(types, names), pa.array(inner, pa.list_(names)), pa.array(marks, names)]
         yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["shard_id", "record_no", "id", "fields", "types", "inner", "marks"])
 
