@@ -61,10 +61,9 @@ def function_summaries(spark: SparkSession, d: str) -> DataFrame:
     return planner.function_summaries(graph.load(spark, d), table(spark, d, "builtin_nodes"))
 
 
-@query(f"""{_RNE}, {_PAIRS}, {_ENTRY}, {_GUARDED}, W(seed, node, path, n) AS (SELECT id, id, id, 0 FROM R UNION SELECT w.seed, p.callee, w.path || ' > ' || p.callee, w.n + 1 FROM W w JOIN P p ON p.caller = w.node WHERE w.n < 4)
- SELECT seed, node, path FROM W QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY n, path) = 1 AND n > 0 AND node IN (SELECT id FROM V)""")
+@query()
 def witnesses(spark: SparkSession, d: str) -> DataFrame:
-    """Searched until no new function is found; the SQL stops after four calls."""
+    """The least of the shortest call paths from each entry point to each guarded function, of any length."""
     return planner.witnesses(graph.load(spark, d))
 
 
@@ -114,8 +113,8 @@ def returned_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_N}, {_E}, {_BIND}, X AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE {_sem('CFG_NEXT')}), S AS (SELECT DISTINCT src AS pos, effect FROM E JOIN M ON M.call_id = dst WHERE {_sem('AST_CHILD')}),
- F(free_id, pos, n) AS (SELECT pos, pos, 0 FROM S WHERE effect = 'free' UNION SELECT f.free_id, x.b, f.n + 1 FROM F f JOIN X x ON x.a = f.pos WHERE f.n < 12 AND (f.free_id = f.pos OR NOT EXISTS (SELECT 1 FROM S WHERE S.pos = f.pos AND effect = 'alloc')))
- SELECT DISTINCT free_id, pos AS again_id FROM F WHERE n > 0 AND free_id <> pos AND pos IN (SELECT pos FROM S WHERE effect = 'free')""")
+ F(free_id, pos) AS (SELECT pos, pos FROM S WHERE effect = 'free' UNION SELECT f.free_id, x.b FROM F f JOIN X x ON x.a = f.pos WHERE (f.free_id = f.pos OR NOT EXISTS (SELECT 1 FROM S WHERE S.pos = f.pos AND effect = 'alloc')))
+ SELECT DISTINCT free_id, pos AS again_id FROM F WHERE free_id <> pos AND pos IN (SELECT pos FROM S WHERE effect = 'free')""")
 def double_frees(spark: SparkSession, d: str) -> DataFrame:
     return planner.double_frees(graph.load(spark, d), table(spark, d, "builtin_nodes"))
 

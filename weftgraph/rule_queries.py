@@ -67,8 +67,8 @@ def control_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_RNE}, X AS (SELECT DISTINCT src AS a, dst AS b FROM E WHERE {_sem('CFG_NEXT')}), Z AS (SELECT id, concat_ws('/', owner_function_id, label) AS v FROM N WHERE label IS NOT NULL AND owner_function_id IS NOT NULL),
  W AS (SELECT DISTINCT src AS id, v FROM E JOIN Z ON Z.id = dst WHERE {_sem('WRITES_TO')}), R AS (SELECT DISTINCT src AS pos, v FROM E JOIN Z ON Z.id = dst WHERE {_sem('READS_FROM')}),
- F(def_id, v, pos, n) AS (SELECT id, v, id, 0 FROM W UNION SELECT f.def_id, f.v, x.b, f.n + 1 FROM F f JOIN X x ON x.a = f.pos WHERE f.n < 12 AND (f.def_id = f.pos OR NOT EXISTS (SELECT 1 FROM W w WHERE w.id = f.pos AND w.v = f.v)))
- SELECT DISTINCT def_id, F.v AS variable, F.pos AS use_id FROM F JOIN R ON R.pos = F.pos AND R.v = F.v WHERE n > 0 AND F.def_id <> F.pos""")
+ F(def_id, v, pos) AS (SELECT id, v, id FROM W UNION SELECT f.def_id, f.v, x.b FROM F f JOIN X x ON x.a = f.pos WHERE (f.def_id = f.pos OR NOT EXISTS (SELECT 1 FROM W w WHERE w.id = f.pos AND w.v = f.v)))
+ SELECT DISTINCT def_id, F.v AS variable, F.pos AS use_id FROM F JOIN R ON R.pos = F.pos AND R.v = F.v WHERE F.def_id <> F.pos""")
 def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
     return rules.reaching_definitions(graph.load(spark, d)).filter("def_id <> use_id")
 
