@@ -139,3 +139,33 @@ def object_findings(spark: SparkSession, d: str) -> DataFrame:
     """Double frees and uses after a free along the control flow, aliases and branches told apart."""
     g = _loaded(spark, d)
     return objects.object_states(*objects.graph_operations(g, _bindings(spark, d, g)))
+
+
+def _copies(spark: SparkSession, d: str, g: graph.Graph) -> DataFrame:
+    """Calls of the runtime's copy with their destination (first argument) and size (last of three and more)."""
+    from weftgraph.operators.access import argument_order
+
+    calls = _bindings(spark, d, g).filter("model = 'buf_copy'").select("call_id").distinct()
+    args = argument_order(g).join(calls, "call_id", "left_semi").join(g.nodes.select(F.col("id").alias("argument_id"), "label", "type"), "argument_id")
+    per = args.groupBy("call_id").agg(F.max("place").alias("n"), F.min_by("label", "place").alias("destination"), F.min_by("type", "place").alias("type"), F.max_by("label", "place").alias("last"))
+    per = per.join(g.nodes.select(F.col("id").alias("call_id"), "confidence"), "call_id")
+    return per.select("call_id", F.when(F.col("n") >= 3, F.col("last")).alias("size"), (F.col("n") >= 3).alias("has_size"), "destination", "type", "confidence")
+
+
+@query()
+def copy_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """Every call of the runtime's copy, how its size and place are spelled, and whether it is known to fit."""
+    from weftgraph.operators.copies import copy_capacity
+
+    return copy_capacity(_copies(spark, d, _loaded(spark, d)))
+
+
+@query(f"""{_NE}, TY AS (SELECT id, min(type) AS type FROM (SELECT id, type FROM nodes UNION ALL SELECT id, type FROM builtin_nodes) GROUP BY id), TP AS (SELECT DISTINCT lower(TY.type) AS type, owner_function_id AS function FROM N JOIN TY ON TY.id = N.id WHERE kind = 'parameter' AND TY.type IS NOT NULL AND owner_function_id IS NOT NULL),
+ WR AS (SELECT DISTINCT src AS id FROM E WHERE sem IN ('WRITES_TO','WRITES_PARAMETER_PROPERTY','MUTATES') AND src IS NOT NULL), CH AS (SELECT id AS function FROM WR UNION SELECT owner_function_id FROM N WHERE kind = 'write' AND owner_function_id IS NOT NULL UNION SELECT owner_function_id FROM N JOIN WR ON WR.id = N.id WHERE owner_function_id IS NOT NULL)
+ SELECT type, function, CASE WHEN kind = 'constructor' OR lower(label) IN ('__init__','new','create') THEN 'constructor' WHEN regexp_matches(lower(label), 'free|destroy|dispose|close|release') THEN 'destructor' WHEN function IN (SELECT function FROM CH) THEN 'mutator' ELSE 'consumer' END AS role FROM TP JOIN N ON N.id = function WHERE kind IN ('function','method','constructor')""")
+def type_roles(spark: SparkSession, d: str) -> DataFrame:
+    """What functions are to the types of their parameters."""
+    from weftgraph.operators.copies import type_roles
+
+    g = _loaded(spark, d)
+    return type_roles(g.nodes, g.edges)
