@@ -116,6 +116,7 @@ def hubs(g: Graph, include_external: bool = False, include_tests: bool = False,
     Flags tell what is exported, reached by dispatch, or registered as a callback. Files of tests and
     foreign ones are left out unless asked for.
     """
+    marked = {"exported": ("EXPORTS",), "dispatch_target": tuple(schema.INDIRECT_CALLS), "callback": schema.CALLBACK_EDGES}
     p = durable(union_call_pairs(g, resolved_only), "pairs")
     ends = p.select(F.explode(F.array(F.struct(F.col("callee").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("caller").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x"))
     fans = ends.select("x.*").groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
@@ -124,11 +125,10 @@ def hubs(g: Graph, include_external: bool = False, include_tests: bool = False,
         own = own.filter(~is_test_path(F.col("file")))
     if not include_external:
         own = own.filter(~is_external_path(F.col("file"))).join(file_provenance(g).filter("foreign").select("file"), "file", "left_anti")
-    marks = None
-    for flag, kinds in (("exported", ("EXPORTS",)), ("dispatch_target", tuple(schema.INDIRECT_CALLS)), ("callback", schema.CALLBACK_EDGES)):
-        m = g.semantic(*kinds).filter("dst is not null").select(F.col("dst").alias("id"), F.lit(flag).alias("flag")).distinct()
-        marks = m if marks is None else marks.unionByName(m)
-    order = F.array(F.lit("exported"), F.lit("dispatch_target"), F.lit("callback"))
+    is_ = lambda ks: F.col("kind").isin(*ks) | schema.semantic_kind().isin(*ks)
+    found = F.array_compact(F.array(*[F.when(is_(ks), F.lit(flag)) for flag, ks in marked.items()]))
+    marks = g.edges.filter("dst is not null").select(F.col("dst").alias("id"), F.explode(found).alias("flag")).distinct()
+    order = F.array(*[F.lit(flag) for flag in marked])
     flags = marks.groupBy("id").agg(F.array_join(F.array_intersect(order, F.collect_set("flag")), ",").alias("flags"))
     return fans.join(own, "id").join(flags, "id", "left").select("id", "label", "file", "fan_in", "fan_out", (F.col("fan_in") + F.col("fan_out")).alias("degree"), F.coalesce("flags", F.lit("")).alias("flags"))
 
