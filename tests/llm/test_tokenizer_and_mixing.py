@@ -75,3 +75,23 @@ def test_mix_over_ranges_is_the_same(spark, monkeypatch):
 def test_mix_of_nothing(spark):
     chosen, per = mixing.mix(spark.createDataFrame([], DOC), spark.createDataFrame([("a", 1.0, 1, 0)], TARGET))
     assert chosen.collect() == [] and mixing.shares(chosen, per).count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shares_by_an_independent_count(spark, seed):
+    rng = random.Random(seed)
+    docs = [(i, " ".join(rng.choice(["one", "two", "three", "é", "9"]) for _ in range(rng.randrange(1, 60))) + f" {i}", rng.choice("aaaabbc"), "x", 1) for i in range(400)]
+    targets = {"a": (0.3, 2), "b": (0.5, 3), "c": (0.2, 4)}
+    chosen, per = mixing.mix(spark.createDataFrame(docs, DOC), spark.createDataFrame([(s, t, m, 0) for s, (t, m) in targets.items()], TARGET))
+    enc = tokenizer.encoding(tokenizer.VOCABULARY)
+    n = {i: len(enc.encode_ordinary(t)) for i, t, *_ in docs}
+    of = {i: s for i, _, s, *_ in docs}
+    size = {s: sum(n[i] for i in n if of[i] == s) for s in targets}
+    total = min(m * size[s] / t for s, (t, m) in targets.items())  # the largest mixture within every cap
+    uses = {r.doc_id: r.uses for r in chosen.collect()}
+    for s, (t, m) in targets.items():
+        mine = {i: uses.get(i, 0) for i in n if of[i] == s}
+        used = sum(n[i] * k for i, k in mine.items())
+        assert abs(used - min(int(total * t), m * size[s])) <= max(n[i] for i in mine) / 2 + 1
+        assert max(mine.values()) <= m and max(mine.values()) - min(mine.values()) <= 1
+    assert {r.source: r.used_tokens for r in mixing.shares(chosen, per).collect()} == {s: sum(n[i] * k for i, k in uses.items() if of[i] == s) for s in targets}
