@@ -172,6 +172,13 @@ def test_empty_graphs(spark, rule):
     assert not rule.applies(g)
 
 
+def test_out_parameters(spark):
+    nodes = [("v", "variable"), ("u", "variable"), ("w", "variable"), ("a", "argument"), ("b", "argument"), ("c", "argument"), ("e", "expression")]
+    flow = [("v", "e"), ("e", "a"), ("u", "b"), ("w", "b"), ("w", "c"), ("c", "w")]
+    g = graph(spark, nodes, [(x, y, "VALUE_FLOWS_TO") for x, y in flow])
+    assert set(edges_of(overlays.out_parameters(g, g.nodes.filter("kind = 'argument'")))) == {("VALUE_FLOWS_TO", "a", "v")}
+
+
 def test_runtime(spark):
     from weftgraph.operators import runtime
 

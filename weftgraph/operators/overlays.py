@@ -664,6 +664,16 @@ def branch_history(g: Graph) -> Delta:
     return Delta(nodes, edges)
 
 
+def out_parameters(g: Graph, written: DataFrame) -> Delta:
+    """Flows from arguments (id) that a callee writes back to the one variable that each of them comes from."""
+    from weftgraph.operators.tools import nearest_variables
+
+    near = nearest_variables(g, written.select("id"), "variable")
+    linked = g.semantic("VALUE_FLOWS_TO").select(F.col("src").alias("seed"), F.col("dst").alias("variable"))
+    new = near.join(linked, ["seed", "variable"], "left_anti")
+    return Delta(None, _edges(new, F.col("seed"), F.col("variable"), "VALUE_FLOWS_TO", [F.col("seed"), F.col("variable")], inference=F.lit("out-param-writeback")))
+
+
 def taint_facts(g: Graph) -> Delta:
     """Taint witnesses as nodes between their source and sink, and the edges that tainted values walk."""
     from weftgraph.operators import reach
