@@ -254,6 +254,40 @@ def blocked(spark) -> DataFrame:
     return spark.createDataFrame([(q, "blocked") for q in ("range_analysis", "object_lifecycle", "error_path_summary")], "question string, status string")
 
 
+#: Rows of the first stage that the second one looks at, and what words and vectors weigh there.
+RERANKED, LEXICAL, SEMANTIC = 32, 0.35, 0.65
+
+
+def concept_search(g: Graph, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """(node_id, lexical, score, place): declarations by a question's words, rare words counting more; the first 32 by words and vectors together.
+
+    ``lexical`` is the share of the question's weight that a name has. ``vectors`` are (node_id, vector); a
+    declaration without one has no likeness. Words that no name has weigh nothing; the cut is the feature.
+    """
+    words = navigate.name_tokens(F.lit(query))
+    d = access.declarations(g).select("node_id", "file", "line", F.array_distinct(navigate.name_tokens(F.col("name"))).alias("tokens"))
+    d = durable(d, "names")
+    n = d.count()
+    asked = d.select(F.explode(F.array_intersect("tokens", words)).alias("token"), "node_id")
+    idf = asked.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("w", F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1)
+    idf = durable(idf, "weights")  # as many rows as the question has words
+    whole = F.lit(idf.agg(F.sum("w")).first()[0] or 1.0)
+    hit = asked.join(F.broadcast(idf), "token").groupBy("node_id").agg((F.sum("w") / whole).alias("lexical")).join(d.select("node_id", "file", "line"), "node_id")
+    order = lambda c: [F.desc(F.round(c, 9)), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), F.col("node_id")]
+    top = durable(hit.orderBy(*order("lexical")).limit(RERANKED), "coarse")
+    score = F.col("lexical")
+    if vectors is not None and query_vector is not None:
+        q = F.array(*[F.lit(float(x)) for x in query_vector])
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        v = F.transform("vector", lambda x: x.cast("double"))
+        norm = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))
+        near = vectors.join(F.broadcast(top.select("node_id")), "node_id", "left_semi").select("node_id", F.when(norm > 0, dot(v, q) / norm).otherwise(0.0).alias("cosine"))
+        top = top.join(near, "node_id", "left")
+        score = LEXICAL * F.col("lexical") + SEMANTIC * F.coalesce("cosine", F.lit(0.0))
+    ranked = top.withColumn("score", score)
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(*order("score")))).select("node_id", F.round("lexical", 6).alias("lexical"), F.round("score", 6).alias("score"), "place")
+
+
 # -- validation -------------------------------------------------------------------------------------
 # Kinds that a frontend must leave to the rules.
 FORBIDDEN_NODES = tuple(

@@ -193,3 +193,11 @@ def deferred_edges(spark: SparkSession, d: str) -> DataFrame:
     ids = g.nodes.select("id")
     whole = g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("row_id")
     return g.edges.join(whole, "row_id", "left_anti").select("row_id", "src", "dst", "kind")
+
+
+@query(f"""{_NE}, {aq._NL}, {aq._DECLS}, CT AS (SELECT node_id, file, line, list_distinct(list_transform(regexp_extract_all(name, '[A-Z]?[a-z]+|[0-9]+|[A-Z]+'), lambda t: lower(t))) AS tokens FROM DC), CQ AS (SELECT node_id, file, line, unnest(list_intersect(tokens, ['save', 'table', 'limit'])) AS token FROM CT),
+ CW AS (SELECT token, ln(((SELECT count(*) FROM CT) + 1.0) / (count(*) + 1)) + 1 AS w FROM CQ GROUP BY 1), CH AS (SELECT node_id, any_value(file) AS file, any_value(line) AS line, sum(w) / (SELECT sum(w) FROM CW) AS lexical FROM CQ JOIN CW USING (token) GROUP BY 1)
+ SELECT node_id, round(lexical, 6) AS lexical, round(lexical, 6) AS score, row_number() OVER (ORDER BY round(lexical, 9) DESC, coalesce(file, ''), coalesce(line, 0), node_id)::INT AS place FROM CH QUALIFY place <= 32""")
+def concept_search(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations by the words of a question; the cut at 32 is the feature."""
+    return tools.concept_search(graph.load(spark, d), "save table limit")
