@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +29,28 @@ ELEMENTS = "origin string, record_key string, path array<string>, type string, v
 BROADCAST_PATTERNS = 50_000
 
 
-def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ARROW = pa.schema([("origin", pa.string()), ("record_key", pa.string()), ("path", pa.list_(pa.string())), ("type", pa.string()), ("value", pa.string())])
+#: Elements of one batch that leaves a task.
+BATCH = 20_000
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        keys, paths, types, values = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(["wire"] * len(rows), pa.string()), pa.array(keys, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(types, pa.string()), pa.array(values, pa.string())], schema=_ARROW)
+
+    out: list[tuple] = []
     for b in batches:
-        out: list[tuple] = []
-        for key, text, version in zip(b["record_no"], b["properties"], b["format_version"]):
-            props = wirejson.decode(text, None if pd.isna(version) else int(version))
+        for key, text, version in zip(*(b.column(i).to_pylist() for i in range(3))):
+            props = wirejson.decode(text, version)
             if props is not None:
-                k = None if pd.isna(key) else str(int(key))
-                out += [("wire", k, list(p), t, v) for p, t, v in wirejson.walk(props)]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["origin", "record_key", "path", "type", "value"])
+                k = None if key is None else str(key)
+                out += [(k, p, t, v) for p, t, v in wirejson.walk(props)]
+                if len(out) > BATCH:
+                    yield made(out)
                     out = []
-        yield pd.DataFrame(out, columns=["origin", "record_key", "path", "type", "value"])
+    if out:
+        yield made(out)
 
 
 def versioned_records(wire: DataFrame, shards: DataFrame) -> DataFrame:
@@ -52,7 +62,7 @@ def versioned_records(wire: DataFrame, shards: DataFrame) -> DataFrame:
 
 def wire_elements(wire: DataFrame, shards: DataFrame) -> DataFrame:
     """Elements of all properties; the root object of a record has the empty path."""
-    return versioned_records(wire, shards).select("record_no", "properties", "format_version").mapInPandas(_open, ELEMENTS)
+    return versioned_records(wire, shards).select("record_no", "properties", "format_version").mapInArrow(_open, ELEMENTS)
 
 
 def _struct_elements(x: Column, path: Column, t: T.DataType) -> Column:
